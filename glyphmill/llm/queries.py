@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html, linededup, packing, quality, secrets, sharding
+from . import html, linededup, packing, quality, secrets, sharding, simhash
 from .common import read_table, small_batches
 
 
@@ -51,6 +51,13 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.drop_common_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint and the smallest id that its links reach."""
+    small_batches(spark)
+    found = simhash.near_duplicates(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's shard and slot, equal texts together, shards of near equal bytes."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -63,6 +70,7 @@ QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op4_quality_rules": op4_quality_rules,
     "op5_line_dedup": op5_line_dedup,
+    "op6_simhash": op6_simhash,
     "op9_sharding": op9_sharding,
     "op10_secret_scans": op10_secret_scans,
 }
