@@ -63,6 +63,8 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, label: str) -> None:
         self.spark = spark
+        # A written table replaces the shuffles it came from: their files go when its query ends.
+        spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
         self.root = f"{shared_dir(spark)}/glyphmill-{label}-{uuid.uuid4().hex}"
         jvm = spark.sparkContext._jvm
         self._path = jvm.org.apache.hadoop.fs.Path

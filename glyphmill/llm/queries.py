@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html, linededup, packing, quality, secrets, sharding, simhash
+from . import html, linededup, packing, quality, secrets, sharding, simhash, substring
 from .common import read_table, small_batches
 
 
@@ -58,6 +58,13 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's word counts and a digest of the words that stay."""
+    small_batches(spark)
+    kept = substring.drop_repeats(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's shard and slot, equal texts together, shards of near equal bytes."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -71,6 +78,7 @@ QUERIES = {
     "op4_quality_rules": op4_quality_rules,
     "op5_line_dedup": op5_line_dedup,
     "op6_simhash": op6_simhash,
+    "op7_substring_dedup": op7_substring_dedup,
     "op9_sharding": op9_sharding,
     "op10_secret_scans": op10_secret_scans,
 }
