@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html, linededup, packing, quality, secrets, sharding, simhash, substring
+from . import decontamination, html, linededup, packing, quality, secrets, sharding, simhash, substring
 from .common import read_table, small_batches
 
 
@@ -16,6 +16,14 @@ def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that holds a benchmark item, with the items and their overlap."""
+    small_batches(spark)
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontamination.leaks(docs, read_table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", F.explode("leaks").alias("m")).select("doc_id", "m.*")
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, fertility measures and verdict of every document."""
     small_batches(spark)
@@ -75,6 +83,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_html_extraction": op1_html_extraction,
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_decontamination": op3_decontamination,
     "op4_quality_rules": op4_quality_rules,
     "op5_line_dedup": op5_line_dedup,
     "op6_simhash": op6_simhash,

@@ -15,6 +15,8 @@ import pyarrow as pa
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: White space, control characters and ASCII punctuation.
+NON_WORD = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 #: Odd multipliers of the polynomials, and their inverses modulo 2**64.
 _BASE = np.array([0x9E3779B97F4A7C15, 0xD1342543DE82EF95], np.uint64)
 _INVERSE = np.array([pow(int(b), -1, 1 << 64) for b in _BASE], np.uint64)
@@ -51,7 +53,7 @@ def powers(lane: int, n: int, inverse: bool = False) -> np.ndarray:
 class Words:
     """The words of a string array, documents one after another."""
 
-    def __init__(self, texts: pa.Array, lanes: int = 2) -> None:
+    def __init__(self, texts: pa.Array, lanes: int = 2, separators: np.ndarray = _SPACE) -> None:
         texts = texts.cast(pa.large_string())
         if texts.null_count:
             texts = texts.fill_null("")
@@ -60,7 +62,7 @@ class Words:
         raw = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.zeros(0, np.uint8)
         bounds = offsets - offsets[0]
         self.raw, self.n_docs = raw, len(texts)
-        word = ~_SPACE[raw]
+        word = ~separators[raw]
         edge = np.zeros(len(raw) + 1, bool)  # a document starts here
         edge[bounds] = True
         before = np.concatenate([[False], word])
@@ -86,5 +88,9 @@ class Words:
         shift = powers(lane, len(sums), True)[starts]
         return mix((sums[ends] - sums[starts]) * shift + (ends - starts).astype(np.uint64), 7)
 
+    def distinct_of(self, start: int, end: int) -> np.ndarray:
+        """The distinct word hashes of a run of words, sorted."""
+        return np.unique(self.hashes[start:end])
+
     def doc_of_words(self) -> np.ndarray:
         return np.repeat(np.arange(self.n_docs), np.diff(self.first))
