@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, html, linededup, packing, quality, secrets, sharding, simhash, substring
+from . import decontamination, html, languagemodel, linededup, packing, quality, secrets, sharding, simhash, substring
 from .common import read_table, small_batches
 
 
@@ -73,6 +73,13 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's base and model score."""
+    small_batches(spark)
+    scored = languagemodel.train_and_score(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's shard and slot, equal texts together, shards of near equal bytes."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -88,6 +95,7 @@ QUERIES = {
     "op5_line_dedup": op5_line_dedup,
     "op6_simhash": op6_simhash,
     "op7_substring_dedup": op7_substring_dedup,
+    "op8_lm_scoring": op8_lm_scoring,
     "op9_sharding": op9_sharding,
     "op10_secret_scans": op10_secret_scans,
 }

@@ -13,8 +13,11 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
+from .common import LOWER_TABLE
+
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+_ASCII_LOWER = np.frombuffer(LOWER_TABLE, np.uint8)
 #: White space, control characters and ASCII punctuation.
 NON_WORD = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 #: Odd multipliers of the polynomials, and their inverses modulo 2**64.
@@ -53,13 +56,15 @@ def powers(lane: int, n: int, inverse: bool = False) -> np.ndarray:
 class Words:
     """The words of a string array, documents one after another."""
 
-    def __init__(self, texts: pa.Array, lanes: int = 2, separators: np.ndarray = _SPACE) -> None:
+    def __init__(self, texts: pa.Array, lanes: int = 2, separators: np.ndarray = _SPACE, lower: bool = False) -> None:
         texts = texts.cast(pa.large_string())
         if texts.null_count:
             texts = texts.fill_null("")
         offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
         data = texts.buffers()[2]
         raw = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.zeros(0, np.uint8)
+        if lower:
+            raw = _ASCII_LOWER[raw]
         bounds = offsets - offsets[0]
         self.raw, self.n_docs = raw, len(texts)
         word = ~separators[raw]
