@@ -44,7 +44,7 @@ from .wordseq import Words
 WINDOW = 35
 PREFIX = 8
 #: Text bytes that are held as arrays at once.
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 #: Starts of a run of windows are stored with their number in one long.
 _PACK = 1 << 16
 
