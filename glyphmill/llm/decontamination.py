@@ -46,7 +46,7 @@ BLOCK = 4
 #: Bytes of item text that one broadcast index may hold.
 SHARD_BYTES = 16 << 20
 #: Text bytes that are held as arrays at once.
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 
 _END = re.compile(r"[\n?.!](?=\s*\S)")
 
