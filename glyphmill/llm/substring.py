@@ -165,6 +165,9 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX) ->
     suffixes = _suffixes(named.select("_rid", "_sig", F.col("text").alias("_text")), window, prefix)
 
     groups = suffixes.groupBy("prefix").agg(F.count(F.lit(1)).alias("_n"), (F.min("context") != F.max("context")).alias("_mixed")).where("_n > 1").select("prefix", "_mixed")
+    # Written first, so that both sides of the join are plain shuffles: a prefix that many
+    # suffixes start with is then split among tasks.
+    groups = scratch.keep(groups, "groups")
     shared = scratch.keep(suffixes.join(groups, "prefix"), "shared")
     whole_groups = shared.where("not _mixed").select("_rid", "_sig", "span")
 
@@ -176,7 +179,7 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX) ->
     texts = named.select("_rid", "_sig", press("text").alias("_packed"))
     ones = contexts.select("_one.*").groupBy("_rid", "_sig").agg(F.collect_list("span").alias("_spans"))
     windows = scratch.keep(_windows(texts.join(ones, ["_rid", "_sig"]), window), "windows")
-    twice = windows.groupBy("_w1", "_w2").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_w1", "_w2")
+    twice = scratch.keep(windows.groupBy("_w1", "_w2").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_w1", "_w2"), "twice")
     deep = windows.join(twice, ["_w1", "_w2"]).select("_rid", "_sig", "span")
 
     covered = whole_groups.union(repeats).union(deep).groupBy("_rid", "_sig").agg(F.collect_set("span").alias("_spans"))
