@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, ascii_lower
+from .common import ASCII_SPACE, Scratch, ascii_lower
 
 
 def line_key(line: Column) -> Column:
@@ -51,6 +51,9 @@ def drop_common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -
         .groupBy("_h1", "_h2").agg(F.count(F.lit(1)).alias("_docs"))
         .where(F.col("_docs") >= min_docs).select("_h1", "_h2")
     )
+    # Written first, so that both sides of the join are plain shuffles: a line that most
+    # documents have is then split among tasks.
+    common = Scratch(docs.sparkSession, "lines").keep(common, "common")
     dropped = lines.join(common, ["_h1", "_h2"]).groupBy("_id", "_sig").agg(F.collect_set("_pos").alias("_gone"))
 
     keyed = docs.withColumn("_sig", F.xxhash64(whole))
