@@ -1 +1 @@
-"""Part of glyphmill."""
+"""Column functions of the lexical engine."""
