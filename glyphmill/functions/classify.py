@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .unicode import ALPHABETIC, LOWERCASE, NUMERIC, UPPERCASE, word_characters
+from .unicode import ALPHABETIC, LOWERCASE, NUMERIC, UPPERCASE, other_character, run_character, word_character
 
 #: The class names, in the order in which they are tried.
 CLASSES = (
@@ -14,37 +14,44 @@ CLASSES = (
 )
 
 
-def _run() -> str:
-    return f"{word_characters()}{NUMERIC}"
-
-
 def boundary_pattern(join: bool = False) -> str:
     """Zero-width places between identifier segments within a run of word characters.
 
     With ``join`` a single capital at the start of a run stays with the segment after it.
     """
-    run = _run()
-    alone = f"(?<!(?:^|[^{run}]){UPPERCASE})" if join else ""
+    word = word_character()
+    alone = f"(?<!(?:^|{other_character()}){UPPERCASE})" if join else ""
     return (
-        f"(?<={NUMERIC})(?=[{word_characters()}])|(?<=[{word_characters()}])(?={NUMERIC})"
+        f"(?<={NUMERIC})(?={word})|(?<={word})(?={NUMERIC})"
         f"|(?<={LOWERCASE})(?={UPPERCASE})|{alone}(?<={UPPERCASE})(?={UPPERCASE}{LOWERCASE})"
     )
 
 
 def segments(token: Column, join: bool = False) -> Column:
     """The segments of an identifier: array of strings."""
-    pieces = F.split(token, f"[^{_run()}]+|{boundary_pattern(join)}")
+    pieces = F.split(token, f"{other_character()}+|{boundary_pattern(join)}")
     return F.filter(pieces, lambda s: s != "")
 
 
 def located_segments(token: Column, join: bool = False) -> Column:
     """Array of struct<text, byte_start, segment_index>; places are relative to the token."""
     mark = "\u0001"
-    edges = f"(?<=[{_run()}])(?=[^{_run()}])|(?<=[^{_run()}])(?=[{_run()}])|{boundary_pattern(join)}"
+    run = run_character()
+    edges = f"(?<={run})(?!{run}|$)|(?<!{run}|^)(?={run})|{boundary_pattern(join)}"
     pieces = F.split(F.regexp_replace(token, edges, mark), mark)
-    # A token has few pieces; the sum over the earlier ones is taken for each.
-    starts = F.transform(pieces, lambda p, k: F.struct(p.alias("text"), F.aggregate(F.slice(pieces, 1, k), F.lit(0).cast("long"), lambda a, x: a + F.octet_length(x)).alias("byte_start")))
-    kept = F.filter(starts, lambda s: s["text"].rlike(f"^[{_run()}]"))
+    # One fold over the pieces carries the place along.
+    empty = F.array().cast("array<struct<text:string,byte_start:bigint>>")
+    start = F.struct(F.lit(0).cast("long").alias("at"), empty.alias("out"))
+
+    def step(acc: Column, piece: Column) -> Column:
+        one = F.struct(piece.alias("text"), acc["at"].alias("byte_start"))
+        out = F.when(piece.rlike(f"^{run}"), F.array_append(acc["out"], one)).otherwise(acc["out"])
+        return F.struct((acc["at"] + F.octet_length(piece)).cast("long").alias("at"), out.alias("out"))
+
+    # A plain word, punctuation after it or not, is one segment.
+    plain = f"^{UPPERCASE}?{LOWERCASE}+(?=[!-/:-@\\[-`{{-~]*$)"
+    alone = F.array(F.struct(F.regexp_extract(token, plain, 0).alias("text"), F.lit(0).cast("long").alias("byte_start")))
+    kept = F.when(token.rlike(plain), alone).otherwise(F.aggregate(pieces, start, step, lambda acc: acc["out"]))
     return F.transform(kept, lambda s, k: F.struct(s["text"].alias("text"), s["byte_start"].alias("byte_start"), k.cast("int").alias("segment_index")))
 
 
@@ -69,6 +76,9 @@ def classify(token: Column) -> Column:
     label = "[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?"
     return (
         F.when(F.contains(token, F.lit("://")) | token.startswith("www."), "url")
+        # Shortcuts for most tokens of prose, which no class in between can claim.
+        .when(token.rlike(f"^{UPPERCASE}?{LOWERCASE}+$"), "natural-word")
+        .when(token.rlike(rf"^{UPPERCASE}?{LOWERCASE}+\.+$"), "unknown")
         .when(token.rlike(r"^[^@]+@[^@]*\.[^@]*$"), "email")
         .when(token.rlike("^[0-9A-Fa-f]{8}-(?:[0-9A-Fa-f]{4}-){3}[0-9A-Fa-f]{12}$"), "uuid")
         .when(is_hash(token), "hash")
@@ -79,7 +89,7 @@ def classify(token: Column) -> Column:
         .when(is_number(token), "number")
         .when(F.size(segments(token)) > 1, "identifier")
         .when(token.rlike(f"^(?:(?={ALPHABETIC}){UPPERCASE})+$"), "acronym")
-        .when(token.rlike(f"^[{word_characters()}]+$"), "natural-word")
+        .when(token.rlike(f"^{word_character()}+$"), "natural-word")
         .otherwise("unknown")
     )
 

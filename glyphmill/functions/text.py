@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .unicode import ALPHABETIC, word_characters
+from .unicode import ALPHABETIC, word_character
 
 #: Sentinels in order of preference; the first that a text lacks is used.
 SENTINELS = ("\u0001", "\u0002", "", "")
@@ -18,7 +18,7 @@ SENTINELS = ("\u0001", "\u0002", "", "")
 
 def word_pattern() -> str:
     """A letter, then letters and combining marks; an apostrophe only before a letter."""
-    return f"{ALPHABETIC}(?:[{word_characters()}]|['’](?={ALPHABETIC}))*"
+    return f"{ALPHABETIC}(?:{word_character()}|['’](?={ALPHABETIC}))*"
 
 
 RAW_PATTERN = r"\P{IsWhite_Space}+"

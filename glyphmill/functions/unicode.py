@@ -36,9 +36,21 @@ def combining() -> str:
 
 
 @lru_cache(maxsize=1)
-def word_characters() -> str:
-    """The members of a class: letters and combining marks."""
-    return ALPHABETIC + combining()
+def word_character() -> str:
+    """One letter or combining mark. The long class is tried on marks only."""
+    return f"(?:{ALPHABETIC}|(?=\\p{{M}})[{combining()}])"
+
+
+@lru_cache(maxsize=1)
+def run_character() -> str:
+    """One letter, combining mark or number."""
+    return f"(?:{ALPHABETIC}|{NUMERIC}|(?=\\p{{M}})[{combining()}])"
+
+
+@lru_cache(maxsize=1)
+def other_character() -> str:
+    """One character that is none of these."""
+    return f"(?:(?!{run_character()})[\\s\\S])"
 
 
 FORMS = {"exact": None, "nfc": "NFC", "nfkc": "NFKC"}
