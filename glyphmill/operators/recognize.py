@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from .. import model
 from ..functions.unicode import case_pattern, initial, lower
 from ..sources.affixfiles import AffixDictionary
+from ..tables import settle
 from .compounds import compound_verdicts
 from .forms import form_table, over_candidate_limit
 
@@ -90,9 +91,8 @@ class Recognizer:
 
     def __init__(self, spark: SparkSession, dictionary: AffixDictionary) -> None:
         self.spark, self.dictionary = spark, dictionary
-        self.forms = form_table(spark, dictionary)
+        self.forms = settle(form_table(spark, dictionary), "forms")  # derived once, for every lookup
         f = dictionary.flags
-        self._case_fallback = True
         sharps = [x.stem.upper() for x in dictionary.lexemes if dictionary.check_sharps and f.keep_case and f.keep_case in x.flags and "ß" in x.stem]
         self.sharp_forms = spark.createDataFrame([(s,) for s in sorted(set(sharps))], "form string")
 

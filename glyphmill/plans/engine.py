@@ -18,6 +18,7 @@ from ..operators.recognize import Recognizer, normalize_output
 from ..operators.suggest import related_seeds, suggest
 from ..sources.affixfiles import AffixDictionary
 from ..sources.wordlists import merged, words_of
+from ..tables import settle
 
 
 @dataclass
@@ -75,15 +76,16 @@ class Engine:
 
     def _suggest_affix(self, words: DataFrame, options: SuggestOptions) -> tuple[DataFrame, DataFrame]:
         recognizer, dictionary = self.recognizers[0], self.affixes[0]
-        stems = self.candidates().withColumn("source_ord", F.lit(0))
+        stems = settle(self.candidates().withColumn("source_ord", F.lit(0)), "stems")
         forms = recognizer.forms.where("depth > 0 and accepted and suggestable and nth <= 64").select("form", "stem").distinct()
         # Forms near a query whose stem looks like it: an equi-join on shared deletions, as for the stems.
         asked = words.select(lower(F.col("word")).alias("lq")).distinct().select("lq", F.explode(deletions(F.col("lq"), options.max_distance)).alias("key"))
         spelled = forms.select("form", "stem", F.explode(deletions(lower(F.col("form")), options.max_distance)).alias("key"))
         forms = asked.join(spelled, "key").where(related_seeds(F.col("lq"), lower(F.col("stem")), options.max_distance))
-        derived = forms.select(F.col("form").alias("word")).distinct().join(stems.select("word"), "word", "left_anti")
+        derived = settle(forms.select(F.col("form").alias("word")).distinct().join(stems.select("word"), "word", "left_anti"), "derived")
         more = derived.select("word", F.lit(None).cast("decimal(20,0)").alias("frequency"), F.lit(1).alias("source_ord"), F.lit(True).alias("suggestable"))
         repaired = self.compound_repairs(words, stems, options).select("word").distinct().join(stems.select("word"), "word", "left_anti").join(derived, "word", "left_anti")
+        repaired = settle(repaired, "repaired")
         joined = repaired.select("word", F.lit(None).cast("decimal(20,0)").alias("frequency"), F.lit(2).alias("source_ord"), F.lit(True).alias("suggestable"))
         found, state = suggest(words, stems.unionByName(more).unionByName(joined), options, dictionary.replacements, dictionary.keyboard, dictionary.maps)
         return found.withColumn("word", normalize_output(F.col("word"), dictionary)), state
@@ -101,7 +103,7 @@ class Engine:
         open_ = both.join(good, "other", "left_semi").select("*", F.explode(deletions(F.col("typo"), options.max_distance)).alias("key"))
         known = stems.select(F.col("word").alias("stem"), F.explode(deletions(F.col("word"), options.max_distance)).alias("key"))
         near = open_.join(known, "key").select("query", "other", "typo", "right", "stem").distinct().where(osa_distance(F.col("typo"), F.col("stem"), options.max_distance).isNotNull())
-        made = near.select("query", F.when(F.col("right"), F.concat("other", "stem")).otherwise(F.concat("stem", "other")).alias("word")).where("word <> query").distinct()
+        made = settle(near.select("query", F.when(F.col("right"), F.concat("other", "stem")).otherwise(F.concat("stem", "other")).alias("word")).where("word <> query").distinct(), "repairs")
         return made.join(recognizer.contains(made).where("recognized").select("word"), "word", "left_semi")
 
     def explain(self, words: DataFrame) -> DataFrame:
