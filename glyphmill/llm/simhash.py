@@ -252,13 +252,19 @@ def _stars(names: np.ndarray, labels: np.ndarray) -> pa.RecordBatch:
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, limit: int = LIMIT, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """(key, fp, component): the smallest key that each row's links reach."""
+    """(key, fp, component, root, rid, sig): the smallest key that each row's links reach.
+
+    ``root`` is one fingerprint that stands for the whole component; ``rid`` and
+    ``sig`` are hashes that know the row again where keys repeat or are null.
+    """
     scratch = Scratch(docs.sparkSession, "simhash")
-    rows = scratch.keep(with_fingerprints(docs.select(key, text), text, width).select(F.col(key).alias("_key"), "fp"), "rows")
+    whole = F.coalesce(text, F.lit(""))
+    hashed = docs.select(key, text, F.xxhash64(key, whole).alias("rid"), F.xxhash64(whole).alias("sig"))
+    rows = scratch.keep(with_fingerprints(hashed, text, width).select(F.col(key).alias("_key"), "fp", "rid", "sig"), "rows")
     classes = scratch.keep(rows.groupBy("fp").agg(F.min("_key").alias("_least")), "classes")
     roots = connected_components(link_forest(classes.select("fp"), limit, bucket_rows), scratch)
-    # The smallest id of each component of linked classes, told to its members.
-    member = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("_root", F.coalesce("root", "fp"))
-    least = member.groupBy("_root").agg(F.min("_least").alias("component"))
-    told = member.join(least, "_root").select("fp", "component")
-    return rows.join(told, "fp").select(F.col("_key").alias(key), "fp", "component")
+    # The smallest key of each component of linked classes, told to its members.
+    member = classes.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    least = member.groupBy("root").agg(F.min("_least").alias("component"))
+    told = member.join(least, "root").select("fp", "component", "root")
+    return rows.join(told, "fp").select(F.col("_key").alias(key), "fp", "component", "root", "rid", "sig")

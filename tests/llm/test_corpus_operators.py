@@ -355,9 +355,11 @@ def test_pipeline_keeps_one_of_each_group(spark):
     text = " ".join(f"word{k % 41}{k % 7}" for k in range(120))
     others = [" ".join(f"own{d}x{(k * k) % 89}" for k in range(100)) for d in (4, 5)]
     rows_ = [(k, text, "en", "s", 1) for k in range(4)] + [(4 + k, t, "en", "s", 1) for k, t in enumerate(others)] + [(0, text, "en", "s", 1)]
+    more = [" ".join(f"{d}y{(k * 3) % 71}" for k in range(90)) for d in "abc"]
+    rows_ += [(9, more[0], "en", "s", 1), (9, more[1], None, None, None), (None, more[2], "en", "s", 1), (None, text, "en", "s", 1), (9, more[0], "fr", "s", 1)]
     docs = docs_of(spark, rows_, "doc_id bigint, text string, lang string, source string, n_chars bigint")
     kept = [r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()]
-    assert sorted(kept) == [0, 4, 5]
+    assert sorted(kept, key=repr) == [0, 4, 5, 9, 9, None]
 
 
 def test_oracle_of_line_dedup(spark):
