@@ -38,6 +38,7 @@ from pyspark.sql import functions as F
 
 from .common import LOWER_TABLE, Scratch
 from .components import connected_components
+from .wordseq import Words, mix, text_chunks
 
 BITS = 64
 SEED = 42
@@ -268,3 +269,130 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     least = member.groupBy("root").agg(F.min("_least").alias("component"))
     told = member.join(least, "root").select("fp", "component", "root")
     return rows.join(told, "fp").select(F.col("_key").alias(key), "fp", "component", "root", "rid", "sig")
+
+
+# Looser similarity: long fingerprints.
+
+#: 64-bit lanes of a long fingerprint, and the bits of one band.
+LANES, BAND_BITS = 10, 16
+#: Members of a bucket up to which all its pairs are compared at once.
+SMALL_BUCKET = 64
+
+
+def long_fingerprints(texts: pa.Array, width: int = 5, lanes: int = LANES) -> np.ndarray:
+    """(rows, lanes) of 64-bit words: the SimHash of each text's distinct word shingles, bit by bit over more hashes."""
+    words = Words(texts, lanes=1, lower=True)
+    counts = np.diff(words.first)
+    number = np.where(counts >= width, counts - width + 1, np.minimum(counts, 1))
+    doc = np.repeat(np.arange(words.n_docs), number)
+    start = words.first[doc] + np.arange(len(doc)) - np.repeat(np.cumsum(number) - number, number)
+    hashes = words.runs(start, np.minimum(start + width, words.first[doc + 1]))
+    order = np.lexsort((hashes, doc))
+    doc, hashes = doc[order], hashes[order]
+    new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (hashes[1:] != hashes[:-1])]) if len(doc) else np.zeros(0, bool)
+    doc, hashes = doc[new], hashes[new]
+    out = np.zeros((words.n_docs, lanes), np.uint64)
+    if not len(doc):
+        return out
+    cuts = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
+    half = np.diff(np.append(cuts, len(doc)))[:, None]
+    for lane in range(lanes):
+        bits = np.unpackbits(mix(hashes, 101 + lane).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        ones = np.add.reduceat(bits, cuts, axis=0, dtype=np.int32)
+        out[doc[cuts], lane] = np.packbits(2 * ones > half, axis=1, bitorder="little").view(np.uint64).ravel()
+    return out
+
+
+def differing_bits(similarity: float, bits: int) -> int:
+    """Bits in which shingle sets of that Jaccard similarity differ: the mean, and one standard deviation."""
+    share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    return int(share * bits + (share * (1 - share) * bits) ** 0.5)
+
+
+def _bucket_links(prints: np.ndarray, limit: int) -> np.ndarray:
+    """A component label for each print of one bucket; every print is compared with those not reached yet."""
+    labels = np.full(len(prints), -1, np.int64)
+    left = np.arange(len(prints))
+    while len(left):
+        seed, left = left[0], left[1:]
+        labels[seed] = seed
+        work = [seed]
+        while work and len(left):
+            at = work.pop()
+            # Hopeless ones go by their first lane, far over what a link shows there.
+            near = np.bitwise_count(prints[left, 0] ^ prints[at, 0]) <= 26
+            some = left[near]
+            close = some[np.bitwise_count(prints[some] ^ prints[at]).sum(axis=1) <= limit]
+            if len(close):
+                labels[close] = seed
+                work += close.tolist()
+                left = left[labels[left] < 0]
+    return labels
+
+
+def _partition_links(keys: np.ndarray, prints: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """(members, centres): rows of one partition that hang together within a bucket."""
+    order = np.argsort(keys, kind="stable")
+    keys, prints = keys[order], prints[order]
+    cuts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    sizes = np.diff(np.append(cuts, len(keys)))
+    size, place = np.repeat(sizes, sizes), np.arange(len(keys)) - np.repeat(cuts, sizes)
+    members, centres = [], []
+    small = np.flatnonzero(size <= SMALL_BUCKET)
+    for step in range(1, int(min(SMALL_BUCKET, sizes.max(initial=1)))):
+        a = small[place[small] + step < size[small]]  # the row ``step`` places on is in the same bucket
+        a = a[np.bitwise_count(prints[a, 0] ^ prints[a + step, 0]) <= 26]
+        a = a[np.bitwise_count(prints[a] ^ prints[a + step]).sum(axis=1) <= limit]
+        members.append(a + step)
+        centres.append(a)
+    for cut, n in zip(cuts[sizes > SMALL_BUCKET].tolist(), sizes[sizes > SMALL_BUCKET].tolist(), strict=True):
+        labels = _bucket_links(prints[cut : cut + n], limit)
+        away = np.flatnonzero(labels != np.arange(n))
+        members.append(cut + away)
+        centres.append(cut + labels[away])
+    none = [np.zeros(0, np.int64)]
+    return order[np.concatenate(members or none)], order[np.concatenate(centres or none)]
+
+
+def similar_groups(docs: DataFrame, similarity: float = 0.8, key: str = "doc_id", text: str = "text", width: int = 5, lanes: int = LANES) -> DataFrame:
+    """(key, rid, sig, root): groups of texts whose shingle sets have that Jaccard similarity, as SimHash sees it.
+
+    64 bits tell similarities of 0.8 and 0.9 badly apart, and three differing bits
+    are far less than either; a fingerprint of 640 bits measures a similarity of
+    0.8 within some 0.02. Its 40 bands of 16 bits are the buckets: a pair
+    at the threshold shares one with a chance of 95 %, a closer pair nearly always.
+    Within a bucket links are prints that differ in no more bits than the
+    threshold does, a standard deviation granted. A task emits at most one row for each print and band.
+    Work within buckets stays small up to some hundred texts a bucket, seven million
+    texts in all; past that, widen ``BAND_BITS``. A bucket is compared in one task, its members
+    with those not reached yet; exact copies are one member.
+    """
+    scratch = Scratch(docs.sparkSession, "similar")
+    whole = F.coalesce(text, F.lit(""))
+    limit, n_bands = differing_bits(similarity, 64 * lanes), 64 * lanes // BAND_BITS
+
+    @F.arrow_udf("binary")
+    def prints(texts: pa.Array) -> pa.Array:
+        out: list[bytes] = []
+        for a, b in text_chunks(texts):
+            out += [row.tobytes() for row in long_fingerprints(texts.slice(a, b - a), width, lanes)]
+        return pa.array(out, pa.binary())
+
+    hashed = docs.select(F.col(key).alias("_key"), F.xxhash64(key, whole).alias("rid"), F.xxhash64(whole).alias("sig"), prints(F.col(text)).alias("fp"))
+    rows = scratch.keep(hashed, "rows")
+    classes = scratch.keep(rows.groupBy("fp").agg(F.min("rid").alias("node")), "classes")
+    bands = classes.select("node", "fp", F.explode(F.sequence(F.lit(0), F.lit(n_bands - 1))).alias("k"))
+    step = BAND_BITS // 8
+    dealt = bands.select("node", "fp", F.xxhash64("k", F.substring("fp", F.col("k") * step + 1, F.lit(step))).alias("bucket")).repartition("bucket")
+
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(b.column(0).to_numpy(), np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint64).reshape(-1, lanes), b.column(2).to_numpy()) for b in batches if b.num_rows]
+        if held:
+            node, fp, bucket = (np.concatenate(x) for x in zip(*held, strict=True))
+            members, centres = _partition_links(bucket, fp, limit)
+            pairs = np.unique(np.stack([node[members], node[centres]], axis=1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+    roots = connected_components(dealt.mapInArrow(linked, "a bigint, b bigint"), scratch)
+    told = classes.join(roots.withColumnRenamed("root", "_root"), "node", "left").select("fp", F.coalesce("_root", "node").alias("root"))
+    return rows.join(told, "fp").select(F.col("_key").alias(key), "rid", "sig", "root")

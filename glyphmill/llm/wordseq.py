@@ -8,10 +8,12 @@ one multiplication, whatever white space stands between them.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from .common import LOWER_TABLE
 
@@ -99,3 +101,20 @@ class Words:
 
     def doc_of_words(self) -> np.ndarray:
         return np.repeat(np.arange(self.n_docs), np.diff(self.first))
+
+
+#: Text bytes that are held as arrays at once.
+CHUNK = 1 << 20
+
+
+def text_chunks(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Row ranges of some ``CHUNK`` text bytes, one row at least."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    start, total = 0, 0
+    for row, size in enumerate(sizes.tolist()):
+        if total and total + size > CHUNK:
+            yield start, row
+            start, total = row, 0
+        total += size
+    if start < len(sizes):
+        yield start, len(sizes)

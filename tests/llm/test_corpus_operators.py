@@ -185,6 +185,42 @@ def test_simhash_edges(spark):
     assert simhash.near_duplicates(docs_of(spark, EDGES).limit(0)).count() == 0
 
 
+def test_similar_groups(spark):
+    """Texts with some words replaced: near ones join their base, far ones and unrelated texts do not."""
+    rng = random.Random(11)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    rows_, want = [], {}
+    for base in range(40):
+        words = [word() for _ in range(rng.randrange(150, 400))]
+        rows_.append((10 * base, " ".join(words)))
+        want[10 * base] = 10 * base
+        for copy, share in ((1, 0.0), (2, 0.006), (3, 0.012), (4, 0.1)):
+            own = [word() if rng.random() < share else w for w in words]
+            rows_.append((10 * base + copy, " ".join(own).upper() if copy == 1 else " ".join(own)))
+            want[10 * base + copy] = 10 * base if share < 0.1 else 10 * base + copy
+    rows_ += [(1000, None), (1001, ""), (1002, "short text"), (1003, "short text"), (1004, "other text")]
+    want |= {1000: 1000, 1001: 1000, 1002: 1002, 1003: 1002, 1004: 1004}
+    groups = collections.defaultdict(list)
+    for r in simhash.similar_groups(docs_of(spark, rows_)).collect():
+        groups[r["root"]].append(r["doc_id"])
+    got = {d: min(g) for g in groups.values() for d in g}
+    assert sum(got[d] != want[d] for d in want) <= 2  # a pair near the threshold may fall on either side
+    assert all(got[d] == want[d] for d in want if d % 10 in (0, 1, 4) or d >= 1000)
+    assert simhash.similar_groups(docs_of(spark, rows_).limit(0)).count() == 0
+
+
+def test_large_buckets_link_as_small_ones():
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**63, (3, 10), dtype=np.uint64)
+    prints = np.repeat(base, 60, axis=0)
+    prints[:, 1] ^= np.uint64(1) << rng.integers(0, 64, 180).astype(np.uint64)
+    keys = np.zeros(180, np.int64)
+    members, centres = simhash._partition_links(keys, prints, 96)
+    assert len(members) == 177 and all(a // 60 == b // 60 for a, b in zip(members, centres, strict=True))
+    members, centres = simhash._partition_links(np.arange(180) // 30, prints, 96)
+    assert {a // 30 == b // 30 for a, b in zip(members, centres, strict=True)} == {True} and len(set(members)) == 174
+
+
 def test_components_of_a_long_chain(spark):
     order = list(range(300))
     random.Random(1).shuffle(order)
