@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..tables import shared_folder
+
 #: The six ASCII white-space characters that separate words: \x20 and \x09-\x0D.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 
@@ -39,20 +40,6 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
-
-    Where the setting is absent (tests, a single machine) a temporary folder is
-    set once per application and used from then on.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not path:
-        path = tempfile.mkdtemp(prefix="glyphmill-")
-        spark.sparkContext.setCheckpointDir(path)
-        path = spark.sparkContext.getCheckpointDir() or path
-    return path.rstrip("/")
-
-
 class Scratch:
     """Tables written into the shared folder to cut lineage.
 
@@ -65,7 +52,7 @@ class Scratch:
         self.spark = spark
         # A written table replaces the shuffles it came from: their files go when its query ends.
         spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
-        self.root = f"{shared_dir(spark)}/glyphmill-{label}-{uuid.uuid4().hex}"
+        self.root = f"{shared_folder(spark)}/glyphmill-{label}-{uuid.uuid4().hex}"
         jvm = spark.sparkContext._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())

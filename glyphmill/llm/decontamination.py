@@ -36,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .wordseq import NON_WORD, Words
+from .wordseq import NON_WORD, Words, text_chunks
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -45,8 +45,6 @@ K1, B = 1.2, 0.75
 BLOCK = 4
 #: Bytes of item text that one broadcast index may hold.
 SHARD_BYTES = 16 << 20
-#: Text bytes that are held as arrays at once.
-CHUNK = 1 << 20
 
 _END = re.compile(r"[\n?.!](?=\s*\S)")
 
@@ -232,18 +230,6 @@ class Index:
 MATCH = "struct<item_id:bigint,overlap:double,question_overlap:double,answer_overlap:double,start_word:bigint>"
 
 
-def _chunks(texts: pa.Array) -> Iterator[tuple[int, int]]:
-    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-    start, total = 0, 0
-    for row, size in enumerate(sizes.tolist()):
-        if total and total + size > CHUNK:
-            yield start, row
-            start, total = row, 0
-        total += size
-    if start < len(sizes):
-        yield start, len(sizes)
-
-
 def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", into: str = "leaks", similarity: float = SIMILARITY, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Add ``into``: the array of confirmed items of each row of ``docs``; a map without any exchange."""
     spark = docs.sparkSession
@@ -262,7 +248,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", into: str =
 def _lookup(index, kind: pa.DataType):
     def found(texts: pa.Array) -> pa.Array:
         rows: list[list[dict]] = [[] for _ in range(len(texts))]
-        for a, b in _chunks(texts):
+        for a, b in text_chunks(texts):
             for row, matches in index.value.matches(texts.slice(a, b - a)):
                 rows[a + row] = matches
         return pa.array(rows, kind)

@@ -39,29 +39,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch
-from .wordseq import Words
+from .wordseq import Words, text_chunks
 
 WINDOW = 35
 PREFIX = 8
-#: Text bytes that are held as arrays at once.
-CHUNK = 1 << 20
 #: Starts of a run of windows are stored with their number in one long.
 _PACK = 1 << 16
 
 
-def _chunks(texts: pa.Array) -> Iterator[tuple[int, int]]:
-    """Row ranges of some ``CHUNK`` bytes, one row at least."""
-    sizes = np.array([len(t) if t is not None else 0 for t in texts.cast(pa.large_binary()).to_pylist()], np.int64)
-    start, total = 0, 0
-    for row, size in enumerate(sizes):
-        if total and total + size > CHUNK:
-            yield start, row
-            start, total = row, 0
-        total += int(size)
-    if start < len(sizes):
-        yield start, len(sizes)
-
-
 def sampled(words: Words, window: int, prefix: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(position, first window, last window, prefix hash) of the sampled suffixes."""
     n = len(words.starts)
@@ -86,7 +71,7 @@ def _suffixes(docs: DataFrame, window: int, prefix: int) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in _chunks(batch.column(2)):
+            for a, b in text_chunks(batch.column(2)):
                 part = batch.slice(a, b - a)
                 words = Words(part.column(2), lanes=1)
                 at, first, last, hashes = sampled(words, window, prefix)
@@ -110,7 +95,7 @@ def _windows(picked: DataFrame, window: int) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = _unpacked(batch.column(2))
-            for a, b in _chunks(texts):
+            for a, b in text_chunks(texts):
                 words = Words(texts.slice(a, b - a))
                 starts, doc = _spread(batch.column(3).slice(a, b - a), words, 1)
                 if not len(starts):
@@ -189,7 +174,7 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX) ->
     def removed(packed: pa.Array, spans: pa.Array) -> pa.Array:
         texts_, counts, gone = [], [], []
         texts = _unpacked(packed)
-        for a, b in _chunks(texts):
+        for a, b in text_chunks(texts):
             words = Words(texts.slice(a, b - a), lanes=0)
             n = len(words.starts)
             own = spans.slice(a, b - a)
