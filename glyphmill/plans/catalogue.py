@@ -23,6 +23,7 @@ from ..sources.affixfiles import AffixDictionary, import_text
 from ..sources.trees import glob_regex
 from ..sources.wordlists import derived_list, overlay, parse_frequency_list, parse_word_list, text_lines
 from ..streaming.live import check_stream
+from ..tables import shared_folder
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -563,7 +564,7 @@ def q_stream_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{sf_dir.rstrip('/')}/conversations.parquet"
     rows = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path.removesuffix("t") + "[t]")  # a glob: the source would take a plain path for a folder
     versions = rows.select(F.concat_ws(":", "conv_id", "turn").alias("doc_id"), F.lit(1).alias("version"), "text")
-    base = (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints").rstrip("/") + f"/stream-{uuid.uuid4().hex}"
+    base = f"{shared_folder(spark)}/glyphmill-stream-{uuid.uuid4().hex}"
     out = f"{base}/findings"
     query = check_stream(versions, lambda: known, lambda found, n: found.write.mode("append").parquet(out), f"{base}/state")
     query.processAllAvailable()
