@@ -150,3 +150,15 @@ def utf16_column(text: Column, scalars: Column) -> Column:
     """UTF-16 units before a place given in scalars: characters beyond the first plane take two."""
     head = F.substr(text, F.lit(1), scalars)
     return F.length(head) + F.regexp_count(head, F.lit(r"[\x{10000}-\x{10FFFF}]"))
+
+
+def rendered_explanation() -> Column:
+    """A row of ``explain`` in one line."""
+    how = F.when(F.col("kind") == "stem", F.concat(F.lit("stem "), "stem")).when(F.col("kind").isin("affix", "derived"), F.concat(F.col("kind"), F.lit(" of "), F.col("stem")))
+    how = F.coalesce(how, F.concat(F.col("kind"), F.lit(" "), F.array_join("components", "+")), F.col("kind"))
+    return F.when(F.col("accepted"), F.concat("word", F.lit(": accepted ("), "casing", F.lit("), "), how)).otherwise(F.concat("word", F.lit(": rejected, "), "reason"))
+
+
+def nul_separated(words: Column) -> Column:
+    """An array of suggestions as one string, each ended by a NUL."""
+    return F.array_join(F.transform(words, lambda w: F.concat(w, F.lit("\0"))), "")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -92,3 +94,16 @@ def merged(sources: list[DataFrame]) -> DataFrame:
         raise ValueError("no source")
     return out
 
+
+
+def overlay_text(words: DataFrame) -> str:
+    """An overlay as text: its words in byte order, one a line. Overlays are a person's own words, so the driver holds them."""
+    return "".join(f"{w}\n" for w in sorted({r["word"] for r in words.select("word").collect()}, key=str.encode))
+
+
+def write_overlay(words: DataFrame, path: str) -> None:
+    """Replace an overlay file: whole, or not at all."""
+    part = f"{path}.{uuid.uuid4().hex}"
+    with open(part, "w", encoding="utf-8") as out:
+        out.write(overlay_text(words))
+    os.replace(part, path)
