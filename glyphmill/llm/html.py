@@ -42,9 +42,13 @@ PRUNED_ROLES = frozenset("navigation banner contentinfo complementary search dia
 BOILERPLATE = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adbox|sponsor\w*|promo\w*|banner|side-?bar|menu\w*|nav|navbar|navigation|breadcrumbs?|header|masthead|foot|footer|footnav|"
     r"comments?|comment-?list|commentlist|disqus|replies|reply|respond|discussion|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|subscribe|subscription|newsletter|signup|login|search|"
-    r"share|sharing|social|related|recommend\w*|widget\w*|toolbar|pagination|pager|skip|copyright|disclaimer|rail|teaser|outbrain|taboola)(?:$|[\s_-])",
+    r"share|sharing|social|related|recommend\w*|widget|widgets|toolbar|pagination|pager|skip|copyright|disclaimer|rail|teaser|outbrain|taboola)(?:$|[\s_-])",
     re.I,
 )
+#: Class words that only say how a page is laid out, and the header of an article itself.
+LAYOUT = re.compile(r"(?<![\w-])(?:(?:has|with|no|without|is|show|hide)[_-][\w-]+|(?:entry|post|article|story|content|title)[_-]+header)(?![\w-])", re.I)
+#: Words that mark reader comments, on any element.
+COMMENTS = re.compile(r"(?:^|[\s_-])(?:comments?|comment-?list|commentlist|disqus|replies|reply|respond)(?:$|[\s_-])", re.I)
 #: Words of a class or id that mark main text.
 CONTENT = re.compile(r"(?:^|[\s_-])(?:article|body|content|entry|hentry|main|page|post|story|text|blog)(?:$|[\s_-])", re.I)
 #: A start of one of these closes an open element of the set.
@@ -73,16 +77,15 @@ class _Tree:
             names = f"{found.get('class', '')} {found.get('id', '')}".strip()
             hidden = "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "")
             pruned = hidden or found.get("role", "").lower() in PRUNED_ROLES
-            if names and not pruned and tag not in ("html", "body", "article", "main"):
-                pruned = bool(BOILERPLATE.search(names))
+            if names and not pruned and tag not in ("html", "body"):
+                pruned = bool((COMMENTS if tag in ("article", "main") else BOILERPLATE).search(LAYOUT.sub("", names)))
             if (names and CONTENT.search(names)) or found.get("role") == "main" or found.get("itemprop") == "articleBody":
                 weight = max(weight, 25)
         if tag == "header" and not pruned:  # the page's header; an article's own header holds its title
-            above, at = set(), parent
-            while at >= 0:
-                above.add(self.tags[at])
+            at = parent
+            while at >= 0 and not self.weights[at]:
                 at = self.parents[at]
-            pruned = not above & {"article", "main"}
+            pruned = at < 0
         self.tags.append(tag)
         self.parents.append(parent)
         self.pruned.append(pruned)

@@ -95,10 +95,6 @@ class Words:
         shift = powers(lane, len(sums), True)[starts]
         return mix((sums[ends] - sums[starts]) * shift + (ends - starts).astype(np.uint64), 7)
 
-    def distinct_of(self, start: int, end: int) -> np.ndarray:
-        """The distinct word hashes of a run of words, sorted."""
-        return np.unique(self.hashes[start:end])
-
     def doc_of_words(self) -> np.ndarray:
         return np.repeat(np.arange(self.n_docs), np.diff(self.first))
 

@@ -43,6 +43,16 @@ def test_html_cases(page, text):
     assert html.main_text(page) == text
 
 
+def test_html_class_words():
+    page = """<body class="no-sidebar"><div class="wrap has-sidebar"><div class="story-text"><header class="entry-header"><h1>Head</h1></header>
+    <p>Body text, with commas, and words.</p><p class="note">Plain note</p></div>
+    <section id="comments"><article class="comment"><p>Reader, says, much, here, and, there</p></article></section>
+    <ul class="social-links"><li>Share it</li></ul></div></body>"""
+    assert html.main_text(page) == "Head\nBody text, with commas, and words.\nPlain note"
+    page = page.replace('<div class="story-text">', "<article>").replace("note</p></div>", "note</p></article>")
+    assert html.main_text(page) == "Head\nBody text, with commas, and words.\nPlain note"
+
+
 def test_html_deep_and_long_pages():
     assert html.main_text("<div>" * 20000 + "deep" + "</div>" * 20000) == "deep"
     long = " ".join(f"w{k}" for k in range(200_000))
