@@ -277,6 +277,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
 LANES, BAND_BITS = 10, 16
 #: Members of a bucket up to which all its pairs are compared at once.
 SMALL_BUCKET = 64
+#: Members above which a bucket is dealt again, by so many further bands, so many times.
+HOT_BUCKET, HOT_BANDS, HOT_LEVELS = 2_000, 3, 8
 
 
 def long_fingerprints(texts: pa.Array, width: int = 5, lanes: int = LANES) -> np.ndarray:
@@ -354,7 +356,27 @@ def _partition_links(keys: np.ndarray, prints: np.ndarray, limit: int) -> tuple[
     return order[np.concatenate(members or none)], order[np.concatenate(centres or none)]
 
 
-def similar_groups(docs: DataFrame, similarity: float = 0.8, key: str = "doc_id", text: str = "text", width: int = 5, lanes: int = LANES) -> DataFrame:
+def _dealt(bands: DataFrame, n_bands: int, scratch: Scratch, hot_bucket: int) -> DataFrame:
+    """(node, fp, bucket) with no bucket much over ``hot_bucket`` members.
+
+    A larger one is dealt again by further bands, drawn for each bucket. Members
+    that are alike keep meeting in some of them, and each shares its other buckets too.
+    """
+    step, parts = BAND_BITS // 8, []
+    for _ in range(HOT_LEVELS):
+        hot = scratch.keep(bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_bucket).select("bucket"), "hot")
+        if hot.isEmpty():
+            break
+        parts.append(bands.join(hot, "bucket", "left_anti").select("node", "fp", "bucket"))
+        again = bands.join(hot, "bucket", "left_semi").select("node", "fp", "bucket", F.explode(F.sequence(F.lit(1), F.lit(HOT_BANDS))).alias("i"))
+        band = F.pmod(F.xxhash64("bucket", "i"), F.lit(n_bands)).cast("int")
+        bands = scratch.keep(again.select("node", "fp", F.xxhash64("bucket", "i", F.substring("fp", band * step + 1, F.lit(step))).alias("bucket")), "again")
+    for part in parts:
+        bands = bands.union(part)
+    return bands
+
+
+def similar_groups(docs: DataFrame, similarity: float = 0.8, key: str = "doc_id", text: str = "text", width: int = 5, lanes: int = LANES, hot_bucket: int = HOT_BUCKET) -> DataFrame:
     """(key, rid, sig, root): groups of texts whose shingle sets have that Jaccard similarity, as SimHash sees it.
 
     64 bits tell similarities of 0.8 and 0.9 badly apart, and three differing bits
@@ -364,8 +386,8 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, key: str = "doc_id"
     Within a bucket links are prints that differ in no more bits than the
     threshold does, a standard deviation granted. A task emits at most one row for each print and band.
     Work within buckets stays small up to some hundred texts a bucket, seven million
-    texts in all; past that, widen ``BAND_BITS``. A bucket is compared in one task, its members
-    with those not reached yet; exact copies are one member.
+    texts in all; past that, widen ``BAND_BITS``. A bucket of more than ``hot_bucket``
+    members is dealt again by further bands; exact copies are one member.
     """
     scratch = Scratch(docs.sparkSession, "similar")
     whole = F.coalesce(text, F.lit(""))
@@ -383,7 +405,8 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, key: str = "doc_id"
     classes = scratch.keep(rows.groupBy("fp").agg(F.min("rid").alias("node")), "classes")
     bands = classes.select("node", "fp", F.explode(F.sequence(F.lit(0), F.lit(n_bands - 1))).alias("k"))
     step = BAND_BITS // 8
-    dealt = bands.select("node", "fp", F.xxhash64("k", F.substring("fp", F.col("k") * step + 1, F.lit(step))).alias("bucket")).repartition("bucket")
+    bands = bands.select("node", "fp", F.xxhash64("k", F.substring("fp", F.col("k") * step + 1, F.lit(step))).alias("bucket"))
+    dealt = _dealt(bands, n_bands, scratch, hot_bucket).repartition("bucket")
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [(b.column(0).to_numpy(), np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint64).reshape(-1, lanes), b.column(2).to_numpy()) for b in batches if b.num_rows]

@@ -209,6 +209,19 @@ def test_similar_groups(spark):
     assert simhash.similar_groups(docs_of(spark, rows_).limit(0)).count() == 0
 
 
+def test_similar_groups_with_a_hot_group(spark):
+    """One base with many copies: buckets over the limit are dealt again, and the group stays one."""
+    rng = random.Random(12)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+    rows_ = [(k, " ".join(w if rng.random() > 0.004 else f"x{rng.randrange(10**6)}" for w in words)) for k in range(250)]
+    rows_ += [(1000 + k, " ".join(f"{k}y{rng.randrange(10**6)}" for _ in range(80))) for k in range(30)]
+    groups = collections.defaultdict(list)
+    for r in simhash.similar_groups(docs_of(spark, rows_), hot_bucket=40).collect():
+        groups[r["root"]].append(r["doc_id"])
+    sizes = sorted(map(len, groups.values()))
+    assert sizes == [1] * 30 + [250]
+
+
 def test_large_buckets_link_as_small_ones():
     rng = np.random.default_rng(3)
     base = rng.integers(0, 2**63, (3, 10), dtype=np.uint64)
