@@ -25,12 +25,13 @@ def connected_components(edges: DataFrame, scratch: Scratch, max_rounds: int = 6
     up = edges.where("a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("r"))
     up = scratch.keep(up.distinct(), "edges")
     for _ in range(max_rounds):
-        least = up.groupBy("v").agg(F.min("r").alias("m"))
+        # Written first, so that both sides of the joins are plain shuffles and a hub is split.
+        least = scratch.keep(up.groupBy("v").agg(F.min("r").alias("m")), "least")
         linked = up.join(least, "v").where("r <> m").select(F.col("r").alias("v"), F.col("m").alias("r"))
         small = scratch.keep(least.select("v", F.col("m").alias("r")).union(linked).distinct(), "star")
         scratch.drop(up)
         # Pointer jumping: the target's least neighbour stands in for the target.
-        target = small.groupBy("v").agg(F.min("r").alias("m")).withColumnRenamed("v", "_v")
+        target = scratch.keep(small.groupBy("v").agg(F.min("r").alias("m")).withColumnRenamed("v", "_v"), "target")
         jumped = small.join(target, small["r"] == target["_v"], "left").select("v", F.coalesce("m", "r").alias("r"), F.col("m").isNotNull().alias("_moved"))
         kept = scratch.keep(jumped.groupBy("v", "r").agg(F.max("_moved").alias("_moved")), "jump")
         # Done when no target moved and no node has two targets.
