@@ -38,6 +38,8 @@ SEPARATOR = 2
 ROUNDS = 6
 #: How fast a covered length's price falls.
 RATE = 2.0
+#: Pieces of a length that may stay uncovered in a round; the rounding takes care of them.
+LEAST = 1e-6
 #: Lengths that use one pricing before the knapsack table is computed anew.
 REPRICE = 48
 
@@ -130,23 +132,25 @@ def fractional(histogram: np.ndarray, capacity: int = CAPACITY, rounds: int = RO
     for goal in (np.arange(rounds) + 1) / rounds:
         stale = reprice
         for size in np.flatnonzero(there)[::-1].tolist():
-            while covered[size] < goal - 1e-12:
+            while (goal - covered[size]) * demand[size] > LEAST:
                 if stale >= reprice:
-                    open_ = there & (covered < goal - 1e-12)
+                    open_ = there & ((goal - covered) * demand > LEAST)
                     _, last = price(np.where(open_, sizes / capacity * np.exp(-rate * covered), -np.inf), capacity)
                     stale = 0
                 stale += 1
                 counts = traced(last, capacity - size)
                 counts[size] = counts.get(size, 0) + 1
                 times = min((goal - covered[s]) * demand[s] / a for s, a in counts.items())
-                if times <= 1e-9:  # a length of it has reached the goal since the last pricing
+                if times <= LEAST / capacity:  # a length of it has reached the goal since the last pricing
                     stale = reprice
                     continue
                 config = tuple(sorted(counts.items(), reverse=True))
                 taken[config] = taken.get(config, 0.0) + times
                 for s, a in counts.items():
-                    covered[s] = goal if (goal - covered[s]) * demand[s] <= a * times * (1 + 1e-9) else covered[s] + a * times / demand[s]
-                if covered[size] < goal - 1e-12:
+                    covered[s] += a * times / demand[s]
+                    if (goal - covered[s]) * demand[s] <= LEAST:
+                        covered[s] = goal
+                if covered[size] < goal:
                     stale = reprice
     return taken
 
