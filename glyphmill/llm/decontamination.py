@@ -36,6 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import release
 from .wordseq import NON_WORD, Words, text_chunks
 
 SHINGLE = 5
@@ -247,6 +248,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", into: str =
 
 def _lookup(index, kind: pa.DataType):
     def found(texts: pa.Array) -> pa.Array:
+        release()
         rows: list[list[dict]] = [[] for _ in range(len(texts))]
         for a, b in text_chunks(texts):
             for row, matches in index.value.matches(texts.slice(a, b - a)):

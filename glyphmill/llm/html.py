@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import release
+
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is not markup.
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -221,6 +223,7 @@ def extract(pages: DataFrame, html: str = "html", into: str = "text") -> DataFra
 
     @F.arrow_udf("string")
     def extracted(column: pa.Array) -> pa.Array:
+        release()
         return pa.array((main_text(x.as_py()) for x in column), pa.string())
 
     return pages.withColumn(into, extracted(F.col(html)))

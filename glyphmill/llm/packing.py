@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, release
 from .tokens import byte_bpe
 
 CAPACITY = 1024
@@ -63,6 +63,7 @@ def tokenise(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity:
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, seen, part = byte_bpe(folder), np.zeros(capacity + 1, np.int64), TaskContext.get().partitionId()
         for batch in batches:
+            release()
             rows, number, starts, lengths, ranks, ids = [], [], [], [], [], []
             for row, value in enumerate(batch.column(1)):
                 whole = np.append(encoder.encode_to_numpy(value.as_py() or ""), separator).astype("<u4")

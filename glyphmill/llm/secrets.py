@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import release
+
 #: The kinds in the order that breaks ties between equal starts.
 KINDS = ("assign", "access", "hex")
 
@@ -224,6 +226,7 @@ def find_secrets(docs: DataFrame, text: str = "text", max_layer: int = MAX_LAYER
 
     @F.arrow_udf("struct<base_spans:array<struct<kind:string,start:bigint,end:bigint>>,spans:array<struct<kind:string,start:bigint,end:bigint>>>")
     def scanned(texts: pa.Array) -> pa.Array:
+        release()
         rows = (scan(t.as_py(), max_layer) for t in texts)
         return pa.array(({"base_spans": named(a), "spans": named(b)} for a, b in rows), both)
 

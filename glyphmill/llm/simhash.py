@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_TABLE, Scratch
+from .common import LOWER_TABLE, Scratch, release
 from .components import connected_components
 from .wordseq import Words, mix, text_chunks
 
@@ -77,6 +77,7 @@ def with_fingerprints(docs: DataFrame, text: str = "text", width: int = 3) -> Da
 
     @F.arrow_udf("bigint")
     def fingerprints(texts: pa.Array) -> pa.Array:
+        release()
         return pa.array(np.array([fingerprint(t.as_py(), width) for t in texts], np.uint64).view(np.int64))
 
     return docs.withColumn("fp", fingerprints(F.col(text)))
@@ -395,6 +396,7 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, key: str = "doc_id"
 
     @F.arrow_udf("binary")
     def prints(texts: pa.Array) -> pa.Array:
+        release()
         out: list[bytes] = []
         for a, b in text_chunks(texts):
             out += [row.tobytes() for row in long_fingerprints(texts.slice(a, b - a), width, lanes)]
@@ -409,6 +411,7 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, key: str = "doc_id"
     dealt = _dealt(bands, n_bands, scratch, hot_bucket).repartition("bucket")
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         held = [(b.column(0).to_numpy(), np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint64).reshape(-1, lanes), b.column(2).to_numpy()) for b in batches if b.num_rows]
         if held:
             node, fp, bucket = (np.concatenate(x) for x in zip(*held, strict=True))

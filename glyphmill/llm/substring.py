@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, release
 from .wordseq import Words, text_chunks
 
 WINDOW = 35
@@ -71,6 +71,7 @@ def _suffixes(docs: DataFrame, window: int, prefix: int) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            release()
             for a, b in text_chunks(batch.column(2)):
                 part = batch.slice(a, b - a)
                 words = Words(part.column(2), lanes=1)
@@ -94,6 +95,7 @@ def _windows(picked: DataFrame, window: int) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            release()
             texts = _unpacked(batch.column(2))
             for a, b in text_chunks(texts):
                 words = Words(texts.slice(a, b - a))
@@ -172,6 +174,7 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX) ->
 
     @F.arrow_udf("struct<text:string,n_words:bigint,n_removed:bigint>")
     def removed(packed: pa.Array, spans: pa.Array) -> pa.Array:
+        release()
         texts_, counts, gone = [], [], []
         texts = _unpacked(packed)
         for a, b in text_chunks(texts):
