@@ -278,8 +278,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
 LANES, BAND_BITS = 10, 16
 #: Members of a bucket up to which all its pairs are compared at once.
 SMALL_BUCKET = 64
-#: Members above which a bucket is dealt again, by so many further bands, so many times.
-HOT_BUCKET, HOT_BANDS, HOT_LEVELS = 2_000, 3, 8
+#: Members above which a bucket is split into blocks that meet pair by pair.
+HOT_BUCKET = 2_000
 
 
 def long_fingerprints(texts: pa.Array, width: int = 5, lanes: int = LANES) -> np.ndarray:
@@ -357,24 +357,20 @@ def _partition_links(keys: np.ndarray, prints: np.ndarray, limit: int) -> tuple[
     return order[np.concatenate(members or none)], order[np.concatenate(centres or none)]
 
 
-def _dealt(bands: DataFrame, n_bands: int, scratch: Scratch, hot_bucket: int) -> DataFrame:
-    """(node, fp, bucket) with no bucket much over ``hot_bucket`` members.
+def _dealt(bands: DataFrame, scratch: Scratch, hot_bucket: int) -> DataFrame:
+    """``bands`` with every ``bucket`` of more than ``hot_bucket`` members split without losing a pair.
 
-    A larger one is dealt again by further bands, drawn for each bucket. Members
-    that are alike keep meeting in some of them, and each shares its other buckets too.
+    The members of such a bucket are cut into blocks by a hash of the node, and each
+    block meets each other, and itself, in a bucket of its own of some 2 * ``hot_bucket`` members.
     """
-    step, parts = BAND_BITS // 8, []
-    for _ in range(HOT_LEVELS):
-        hot = scratch.keep(bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_bucket).select("bucket"), "hot")
-        if hot.isEmpty():
-            break
-        parts.append(bands.join(hot, "bucket", "left_anti").select("node", "fp", "bucket"))
-        again = bands.join(hot, "bucket", "left_semi").select("node", "fp", "bucket", F.explode(F.sequence(F.lit(1), F.lit(HOT_BANDS))).alias("i"))
-        band = F.pmod(F.xxhash64("bucket", "i"), F.lit(n_bands)).cast("int")
-        bands = scratch.keep(again.select("node", "fp", F.xxhash64("bucket", "i", F.substring("fp", band * step + 1, F.lit(step))).alias("bucket")), "again")
-    for part in parts:
-        bands = bands.union(part)
-    return bands
+    sizes = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_bucket)
+    hot = scratch.keep(sizes.select("bucket", F.ceil(F.col("_n") / hot_bucket).cast("int").alias("_blocks")), "hot")
+    if hot.isEmpty():
+        return bands
+    own, other = F.pmod(F.xxhash64("node", F.lit(1)), F.col("_blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
+    split = bands.join(hot, "bucket").withColumn("_own", own).withColumn("_other", other)
+    met = F.xxhash64("bucket", F.least("_own", "_other"), F.greatest("_own", "_other"))
+    return bands.join(hot, "bucket", "left_anti").select("node", "fp", "bucket").union(split.select("node", "fp", met.alias("bucket")))
 
 
 def similar_groups(docs: DataFrame, similarity: float = 0.8, key: str = "doc_id", text: str = "text", width: int = 5, lanes: int = LANES, hot_bucket: int = HOT_BUCKET) -> DataFrame:
@@ -388,7 +384,7 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, key: str = "doc_id"
     threshold does, a standard deviation granted. A task emits at most one row for each print and band.
     Work within buckets stays small up to some hundred texts a bucket, seven million
     texts in all; past that, widen ``BAND_BITS``. A bucket of more than ``hot_bucket``
-    members is dealt again by further bands; exact copies are one member.
+    members is split into blocks, each compared with each; exact copies are one member.
     """
     scratch = Scratch(docs.sparkSession, "similar")
     whole = F.coalesce(text, F.lit(""))
@@ -408,7 +404,7 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, key: str = "doc_id"
     bands = classes.select("node", "fp", F.explode(F.sequence(F.lit(0), F.lit(n_bands - 1))).alias("k"))
     step = BAND_BITS // 8
     bands = bands.select("node", "fp", F.xxhash64("k", F.substring("fp", F.col("k") * step + 1, F.lit(step))).alias("bucket"))
-    dealt = _dealt(bands, n_bands, scratch, hot_bucket).repartition("bucket")
+    dealt = _dealt(bands, scratch, hot_bucket).repartition("bucket")
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()

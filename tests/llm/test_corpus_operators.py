@@ -222,6 +222,18 @@ def test_similar_groups_with_a_hot_group(spark):
     assert sizes == [1] * 30 + [250]
 
 
+def test_hot_buckets_lose_no_pair(spark):
+    """Many small pairs in one hot bucket, alike in no other: every pair still meets in some bucket."""
+    rows_ = [(i, i.to_bytes(8, "little"), 7) for i in range(600)] + [(i, i.to_bytes(8, "little"), 8) for i in range(30)]
+    dealt = simhash._dealt(spark.createDataFrame(rows_, "node bigint, fp binary, bucket bigint"), Scratch(spark, "test"), hot_bucket=40).collect()
+    members = collections.defaultdict(set)
+    for r in dealt:
+        members[r["bucket"]].add(r["node"])
+    assert max(map(len, members.values())) < 160
+    met = {(a, b) for m in members.values() for a in m for b in m if a < b}
+    assert len(met) == 600 * 599 // 2
+
+
 def test_large_buckets_link_as_small_ones():
     rng = np.random.default_rng(3)
     base = rng.integers(0, 2**63, (3, 10), dtype=np.uint64)
