@@ -33,6 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -274,16 +275,22 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
 
 # Looser similarity: long fingerprints.
 
-#: 64-bit lanes of a long fingerprint, and the bits of one band.
-LANES, BAND_BITS = 10, 16
+#: 64-bit lanes of a long fingerprint, the bits of one band, and the lanes that candidates are compared by.
+LANES, BAND_BITS, NEAR_LANES = 10, 12, 6
+#: Standard deviations over the mean that candidates may differ by.
+DEVIATIONS = 4
 #: Members of a bucket up to which all its pairs are compared at once.
 SMALL_BUCKET = 64
 #: Members above which a bucket is split into blocks that meet pair by pair.
 HOT_BUCKET = 2_000
+#: Shingles of one block of a component that is confirmed in blocks.
+BLOCK_SHINGLES = 2_000_000
+#: Rows, or shingles, that a task holds of whole buckets, or components, at once.
+HELD_ROWS, HELD_SHINGLES = 400_000, 4_000_000
 
 
-def long_fingerprints(texts: pa.Array, width: int = 5, lanes: int = LANES) -> np.ndarray:
-    """(rows, lanes) of 64-bit words: the SimHash of each text's distinct word shingles, bit by bit over more hashes."""
+def shingle_sets(texts: pa.Array, width: int = 5) -> tuple[int, np.ndarray, np.ndarray]:
+    """(texts, text of each shingle, hash of each shingle): the distinct word shingles of each text, sorted."""
     words = Words(texts, lanes=1, lower=True)
     counts = np.diff(words.first)
     number = np.where(counts >= width, counts - width + 1, np.minimum(counts, 1))
@@ -293,8 +300,16 @@ def long_fingerprints(texts: pa.Array, width: int = 5, lanes: int = LANES) -> np
     order = np.lexsort((hashes, doc))
     doc, hashes = doc[order], hashes[order]
     new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (hashes[1:] != hashes[:-1])]) if len(doc) else np.zeros(0, bool)
-    doc, hashes = doc[new], hashes[new]
-    out = np.zeros((words.n_docs, lanes), np.uint64)
+    return words.n_docs, doc[new], hashes[new]
+
+
+def long_fingerprints(texts: pa.Array, width: int = 5, lanes: int = LANES) -> np.ndarray:
+    """(rows, lanes) of 64-bit words: the SimHash of each text's distinct word shingles, bit by bit over more hashes."""
+    return _set_prints(*shingle_sets(texts, width), lanes)
+
+
+def _set_prints(n: int, doc: np.ndarray, hashes: np.ndarray, lanes: int) -> np.ndarray:
+    out = np.zeros((n, lanes), np.uint64)
     if not len(doc):
         return out
     cuts = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
@@ -306,10 +321,10 @@ def long_fingerprints(texts: pa.Array, width: int = 5, lanes: int = LANES) -> np
     return out
 
 
-def differing_bits(similarity: float, bits: int) -> int:
-    """Bits in which shingle sets of that Jaccard similarity differ: the mean, and one standard deviation."""
+def differing_bits(similarity: float, bits: int, deviations: float = 1) -> int:
+    """Bits in which shingle sets of that Jaccard similarity differ: the mean, and so many standard deviations."""
     share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    return int(share * bits + (share * (1 - share) * bits) ** 0.5)
+    return int(share * bits + deviations * (share * (1 - share) * bits) ** 0.5)
 
 
 def _bucket_links(prints: np.ndarray, limit: int) -> np.ndarray:
@@ -373,48 +388,165 @@ def _dealt(bands: DataFrame, scratch: Scratch, hot_bucket: int) -> DataFrame:
     return bands.join(hot, "bucket", "left_anti").select("node", "fp", "bucket").union(split.select("node", "fp", met.alias("bucket")))
 
 
-def similar_groups(docs: DataFrame, similarity: float = 0.8, key: str = "doc_id", text: str = "text", width: int = 5, lanes: int = LANES, hot_bucket: int = HOT_BUCKET) -> DataFrame:
-    """(key, rid, sig, root): groups of texts whose shingle sets have that Jaccard similarity, as SimHash sees it.
+def band_keys(prints: np.ndarray) -> np.ndarray:
+    """(rows, bands) of 64-bit keys: the place and value of each band of ``BAND_BITS`` bits."""
+    rows, lanes = prints.shape
+    bands = 64 * lanes // BAND_BITS
+    bits = np.unpackbits(prints.view(np.uint8).reshape(rows, -1), axis=1, bitorder="little")[:, : bands * BAND_BITS].reshape(rows, bands, BAND_BITS)
+    values = bits @ (1 << np.arange(BAND_BITS, dtype=np.int64))
+    return (np.arange(bands, dtype=np.int64) << BAND_BITS) | values
+
+
+def _whole_keys(batches: Iterator[pa.RecordBatch], key: str, most: int, weight: str | None = None) -> Iterator[pa.Table]:
+    """Rows sorted by ``key`` in tables of whole keys, of some ``most`` rows or sum of ``weight``; release follows each."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        size += (pc.sum(batch.column(weight)).as_py() or 0) if weight else batch.num_rows
+        if size < most:
+            continue
+        table = pa.Table.from_batches(held)
+        keys = table.column(key).to_numpy()
+        cut = int(np.flatnonzero(keys != keys[-1])[-1]) + 1 if keys[0] != keys[-1] else 0
+        if cut:
+            yield table.slice(0, cut)
+            release()
+            held = table.slice(cut).combine_chunks().to_batches()
+            size = sum((pc.sum(b.column(weight)).as_py() or 0) if weight else b.num_rows for b in held)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _set_links(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """A component label for each shingle set; sets of at least that Jaccard similarity are linked."""
+    labels = np.full(len(sets), -1, np.int64)
+    sizes = np.array([len(x) for x in sets])
+    ids = np.unique(np.concatenate(sets), return_inverse=True)[1].astype(np.int32)
+    seen = np.zeros(int(ids.max(initial=-1)) + 1, bool)
+    starts = np.cumsum(sizes) - sizes
+    own = [ids[a : a + n] for a, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
+    left = np.arange(len(sets))
+    while len(left):
+        seed, left = left[0], left[1:]
+        labels[seed] = seed
+        work = [seed]
+        while work and len(left):
+            at = work.pop()
+            n = sizes[at]
+            if not n:
+                continue
+            some = left[np.minimum(sizes[left], n) / np.maximum(sizes[left], n) >= similarity]
+            if not len(some):
+                continue
+            seen[own[at]] = True
+            both = np.add.reduceat(seen[np.concatenate([own[k] for k in some.tolist()])], np.cumsum(sizes[some]) - sizes[some], dtype=np.int64)
+            seen[own[at]] = False
+            close = some[both / (sizes[some] + n - both) >= similarity]
+            if len(close):
+                labels[close] = seed
+                work += close.tolist()
+                left = left[labels[left] < 0]
+    return labels
+
+
+def _confirmed(sets: DataFrame, similarity: float, scratch: Scratch, block_shingles: int) -> DataFrame:
+    """(a, b): rows that span the groups of exactly ``similarity`` within each candidate component.
 
-    64 bits tell similarities of 0.8 and 0.9 badly apart, and three differing bits
-    are far less than either; a fingerprint of 640 bits measures a similarity of
-    0.8 within some 0.02. Its 40 bands of 16 bits are the buckets: a pair
-    at the threshold shares one with a chance of 95 %, a closer pair nearly always.
-    Within a bucket links are prints that differ in no more bits than the
-    threshold does, a standard deviation granted. A task emits at most one row for each print and band.
-    Work within buckets stays small up to some hundred texts a bucket, seven million
-    texts in all; past that, widen ``BAND_BITS``. A bucket of more than ``hot_bucket``
-    members is split into blocks, each compared with each; exact copies are one member.
+    ``sets``: (node, root, shingles, n). A component of more than ``block_shingles``
+    shingles is cut into blocks of which each meets each, so that a task holds two.
+    """
+    sizes = sets.groupBy("root").agg(F.sum("n").alias("_n"))
+    large = scratch.keep(sizes.where(F.col("_n") > block_shingles).select("root", F.ceil(F.col("_n") / block_shingles).cast("int").alias("_blocks")), "large")
+    met = sets.select("node", "root", "shingles", "n")
+    if not large.isEmpty():
+        own, other = F.pmod(F.xxhash64("node", F.lit(2)), F.col("_blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
+        split = met.join(large, "root").withColumn("_own", own).withColumn("_other", other)
+        block = F.xxhash64("root", F.least("_own", "_other"), F.greatest("_own", "_other"))
+        met = met.join(large, "root", "left_anti").select("node", "root", "shingles", "n").union(split.select("node", block.alias("root"), "shingles", "n"))
+    met = met.repartition("root").sortWithinPartitions("root")
+
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        for table in _whole_keys(batches, "root", HELD_SHINGLES, "n"):
+            node, root = table.column("node").to_numpy(), table.column("root").to_numpy()
+            sets_ = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("shingles")]
+            cuts = np.flatnonzero(np.concatenate([[True], root[1:] != root[:-1]])).tolist()
+            a, b = [], []
+            for x, y in zip(cuts, [*cuts[1:], len(root)], strict=True):
+                labels = _set_links(sets_[x:y], similarity)
+                away = np.flatnonzero(labels != np.arange(y - x))
+                a.append(node[x + away])
+                b.append(node[x + labels[away]])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+
+    return met.mapInArrow(linked, "a bigint, b bigint")
+
+
+def similar_groups(docs: DataFrame, similarity: float = 0.8, key: str = "doc_id", text: str = "text", width: int = 5, lanes: int = LANES, hot_bucket: int = HOT_BUCKET, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+    """(key, rid, sig, root): groups of texts that hang together by links of that Jaccard similarity of shingle sets.
+
+    Fingerprints of 640 bits find candidates: the 53 bands of 12 bits are the
+    buckets, of which a pair at 0.8 shares one with a chance of 99.96 %, a closer
+    pair nearly always. Within a bucket candidates are prints that
+    differ, in ``NEAR_LANES`` lanes, in no more bits than the threshold does,
+    ``DEVIATIONS`` granted. A task emits at most one row for each print and band.
+    Within the components of candidates, which hold every pair found and more, the
+    shingle sets themselves are compared, so no link is below the similarity.
+    A bucket of more than ``hot_bucket`` members, or a component of more than
+    ``block_shingles`` shingles, is split into blocks, each compared with each;
+    texts of equal shingle sets are one member.
     """
     scratch = Scratch(docs.sparkSession, "similar")
     whole = F.coalesce(text, F.lit(""))
-    limit, n_bands = differing_bits(similarity, 64 * lanes), 64 * lanes // BAND_BITS
+    near = min(lanes, NEAR_LANES)
+    limit = differing_bits(similarity, 64 * near, DEVIATIONS)
+    kind = pa.struct([("fp", pa.binary()), ("shingles", pa.binary()), ("n", pa.int64())])
 
-    @F.arrow_udf("binary")
+    @F.arrow_udf("struct<fp:binary,shingles:binary,n:bigint>")
     def prints(texts: pa.Array) -> pa.Array:
         release()
-        out: list[bytes] = []
+        out: list[dict] = []
         for a, b in text_chunks(texts):
-            out += [row.tobytes() for row in long_fingerprints(texts.slice(a, b - a), width, lanes)]
-        return pa.array(out, pa.binary())
+            n, doc, hashes = shingle_sets(texts.slice(a, b - a), width)
+            fps, ends = _set_prints(n, doc, hashes, lanes), np.searchsorted(doc, np.arange(n + 1)).tolist()
+            out += [{"fp": fp.tobytes(), "shingles": hashes[x:y].tobytes(), "n": y - x} for fp, x, y in zip(fps, ends, ends[1:], strict=False)]
+        return pa.array(out, kind)
+
+    hashed = docs.select(F.col(key).alias("_key"), F.xxhash64(key, whole).alias("rid"), F.xxhash64(whole).alias("sig"), prints(F.col(text)).alias("_p"))
+    read = scratch.keep(hashed.select("_key", "rid", "sig", "_p.*").withColumn("set", F.xxhash64("shingles", "fp")), "rows")
+    rows = read.select("_key", "rid", "sig", "set")
+    # Equal sets are one class, known by the least row's hash.
+    classes = scratch.keep(read.groupBy("set").agg(F.min("rid").alias("node"), F.first("fp").alias("fp")), "classes")
+
+    def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        for batch in batches:
+            fps = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint64).reshape(-1, lanes)
+            if len(fps):
+                keys = band_keys(fps)
+                short = [row.tobytes() for row in np.ascontiguousarray(fps[:, :near])]
+                times = pa.array(np.repeat(np.arange(len(fps)), keys.shape[1]))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(times), pa.array(short, pa.binary()).take(times), pa.array(keys.ravel())], ["node", "fp", "bucket"])
 
-    hashed = docs.select(F.col(key).alias("_key"), F.xxhash64(key, whole).alias("rid"), F.xxhash64(whole).alias("sig"), prints(F.col(text)).alias("fp"))
-    rows = scratch.keep(hashed, "rows")
-    classes = scratch.keep(rows.groupBy("fp").agg(F.min("rid").alias("node")), "classes")
-    bands = classes.select("node", "fp", F.explode(F.sequence(F.lit(0), F.lit(n_bands - 1))).alias("k"))
-    step = BAND_BITS // 8
-    bands = bands.select("node", "fp", F.xxhash64("k", F.substring("fp", F.col("k") * step + 1, F.lit(step))).alias("bucket"))
-    dealt = _dealt(bands, scratch, hot_bucket).repartition("bucket")
+    bands = classes.select("node", "fp").mapInArrow(banded, "node bigint, fp binary, bucket bigint")
+    dealt = _dealt(scratch.keep(bands, "bands"), scratch, hot_bucket).repartition("bucket").sortWithinPartitions("bucket")
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
-        held = [(b.column(0).to_numpy(), np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint64).reshape(-1, lanes), b.column(2).to_numpy()) for b in batches if b.num_rows]
-        if held:
-            node, fp, bucket = (np.concatenate(x) for x in zip(*held, strict=True))
+        for table in _whole_keys(batches, "bucket", HELD_ROWS):
+            node, bucket = table.column("node").to_numpy(), table.column("bucket").to_numpy()
+            fp = np.frombuffer(b"".join(table.column("fp").to_pylist()), np.uint64).reshape(-1, near)
             members, centres = _partition_links(bucket, fp, limit)
             pairs = np.unique(np.stack([node[members], node[centres]], axis=1), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
-    roots = connected_components(dealt.mapInArrow(linked, "a bigint, b bigint"), scratch)
-    told = classes.join(roots.withColumnRenamed("root", "_root"), "node", "left").select("fp", F.coalesce("_root", "node").alias("root"))
-    return rows.join(told, "fp").select(F.col("_key").alias(key), "rid", "sig", "root")
+    candidates = connected_components(dealt.mapInArrow(linked, "a bigint, b bigint"), scratch)
+    # Every member of a component of two or more, the root included, with its set.
+    within = candidates.union(candidates.select(F.col("root").alias("node"), "root").distinct())
+    sets = scratch.keep(classes.select("node", "set").join(within, "node").join(read.select("set", F.col("rid").alias("node"), "shingles", "n"), ["set", "node"]).dropDuplicates(["node"]).select("node", "root", "shingles", "n"), "sets")
+    roots = connected_components(_confirmed(sets, similarity, scratch, block_shingles), scratch)
+    told = classes.join(roots.withColumnRenamed("root", "_root"), "node", "left").select("set", F.coalesce("_root", "node").alias("root"))
+    return rows.join(told, "set").select(F.col("_key").alias(key), "rid", "sig", "root")

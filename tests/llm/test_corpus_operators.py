@@ -222,6 +222,31 @@ def test_similar_groups_with_a_hot_group(spark):
     assert sizes == [1] * 30 + [250]
 
 
+@pytest.mark.parametrize("block_shingles", [500, 2_000_000])
+def test_similar_groups_equal_exact_jaccard(spark, block_shingles):
+    """Pairs from 0.7 to 0.9: exactly those at 0.8 or more link, as by brute force."""
+    rng = random.Random(13)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    rows_, near = [], collections.Counter()
+    shingles = lambda t: {tuple(t[k : k + 5]) for k in range(len(t) - 4)}
+    want = {}
+    for base in range(300):
+        words = [word() for _ in range(rng.randrange(60, 300))]
+        other = words[:]
+        for k in range(0, len(words), rng.choice([40, 45, 50, 60])):
+            other[k] = word()
+        a, b = shingles(words), shingles(other)
+        jaccard = len(a & b) / len(a | b)
+        near[jaccard >= 0.8] += 1
+        rows_ += [(2 * base, " ".join(words)), (2 * base + 1, " ".join(other))]
+        want |= {2 * base: 2 * base, 2 * base + 1: 2 * base + (jaccard < 0.8)}
+    assert min(near[True], near[False]) > 50
+    groups = collections.defaultdict(list)
+    for r in simhash.similar_groups(docs_of(spark, rows_), block_shingles=block_shingles).collect():
+        groups[r["root"]].append(r["doc_id"])
+    assert {d: min(g) for g in groups.values() for d in g} == want
+
+
 def test_hot_buckets_lose_no_pair(spark):
     """Many small pairs in one hot bucket, alike in no other: every pair still meets in some bucket."""
     rows_ = [(i, i.to_bytes(8, "little"), 7) for i in range(600)] + [(i, i.to_bytes(8, "little"), 8) for i in range(30)]
