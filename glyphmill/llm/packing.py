@@ -66,7 +66,7 @@ def tokenise(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity:
             release()
             rows, number, starts, lengths, ranks, ids = [], [], [], [], [], []
             for row, value in enumerate(batch.column(1)):
-                whole = np.append(encoder.encode_to_numpy(value.as_py() or ""), separator).astype("<u4")
+                whole = np.append(encoder.encode_to_numpy(value.as_py() or "", allowed_special="all"), separator).astype("<u4")
                 for k, (start, length) in enumerate(cut(len(whole), capacity)):
                     rows.append(row)
                     number.append(k)

@@ -10,10 +10,13 @@ from .common import vocabulary_path
 #: Fixed value: the published pre-token pattern of the 50k byte-level vocabulary.
 BYTE_BPE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+#: Fixed value: the added token of the 50k vocabulary, which its JSON file finds in plain text too.
+END_OF_TEXT, END_OF_TEXT_ID = "<|endoftext|>", 50256
+
 
 @lru_cache(maxsize=4)
 def byte_bpe(folder: str | None = None):
-    """The 50k byte-level BPE. Same ids as the JSON file of the vocabulary.
+    """The 50k byte-level BPE. With ``allowed_special="all"`` the same ids as the JSON file of the vocabulary.
 
     The ranks file holds the same vocabulary as ``byte_bpe_50k.json``; a test
     compares the ids with those of the ``tokenizers`` library. That library
@@ -23,7 +26,7 @@ def byte_bpe(folder: str | None = None):
 
     with open(vocabulary_path("byte_bpe_50k.tiktoken", folder), "rb") as lines:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-    return tiktoken.Encoding("byte_bpe_50k", pat_str=BYTE_BPE_PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("byte_bpe_50k", pat_str=BYTE_BPE_PATTERN, mergeable_ranks=ranks, special_tokens={END_OF_TEXT: END_OF_TEXT_ID})
 
 
 @lru_cache(maxsize=2)

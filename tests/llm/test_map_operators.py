@@ -102,6 +102,17 @@ def test_ids_are_those_of_the_tokenizers_library():
         assert byte_bpe().encode_ordinary(text) == other.encode(text, add_special_tokens=False).ids
 
 
+def test_the_added_token_is_found_in_text():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    other = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for text in ("end of one<|endoftext|>start of two", "a  <|endoftext|> \n b", "<|endoftext|><|endoftext|>", "<|endoftext|", "plain"):
+        ids = other.encode(text, add_special_tokens=False).ids
+        assert byte_bpe().encode_to_numpy(text, allowed_special="all").tolist() == ids
+        assert quality.fertility(text)[0] == len(ids)
+
+
 def test_bands_reject_noise_and_keep_good_text(spark):
     sf = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
