@@ -113,6 +113,15 @@ def test_the_added_token_is_found_in_text():
         assert quality.fertility(text)[0] == len(ids)
 
 
+def test_fallback_share_is_one_measure_for_every_text():
+    """A rare character adds its own bytes only: line breaks count with and without it."""
+    line = "time year people way day man thing woman life child\n"
+    for text in (line * 20, line * 20 + "\U0001f9ff", "a\tb", "plain words", "caf\u00e9 \u3000 \r x"):
+        pieces = piece_bpe().encode(text)
+        assert quality.fertility(text)[2] == sum(map(piece_bpe().is_byte, pieces)) / len(pieces)
+    assert quality.fertility(line * 20)[2] > 0.05
+
+
 def test_bands_reject_noise_and_keep_good_text(spark):
     sf = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
