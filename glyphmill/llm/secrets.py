@@ -5,7 +5,7 @@ encodings found in it are unwrapped into new layers: URL escapes and Unicode
 escapes give the whole layer with the escapes replaced, a base64 token gives a
 layer of its own (decompressed first when it holds a gzip, zlib, bzip2, xz or
 zstd stream). The worklist ends when no layer gives anything unseen; a digest
-of each layer stops cycles. Each layer knows how its characters map to its
+of each layer and its place stops cycles. Each layer knows how its characters map to its
 parent, so a span found at any depth is reported in the document's own code
 points: exactly for escapes, as the whole token for base64.
 
@@ -65,10 +65,12 @@ def base_spans(text: str) -> list[Span]:
 class _Layer:
     """A text and the place of each of its characters in its parent layer."""
 
-    __slots__ = ("text", "parent", "starts", "sources", "whole")
+    __slots__ = ("text", "parent", "starts", "sources", "whole", "place")
 
     def __init__(self, text, parent=None, starts=(), sources=(), whole=None) -> None:
         self.text, self.parent, self.starts, self.sources, self.whole = text, parent, starts, sources, whole
+        #: Where the outermost token that holds this layer stands in the document.
+        self.place = parent and (parent.place or whole and parent.to_document(*whole))
 
     def to_parent(self, start: int, end: int) -> tuple[int, int]:
         if self.whole:
@@ -197,7 +199,7 @@ def scan(text: str | None, max_layer: int = MAX_LAYER) -> tuple[list[Span], list
         for new in inner:
             if new is None:
                 continue
-            digest = hashlib.blake2b(new.text.encode("utf-8", "surrogatepass"), digest_size=16).digest() + repr(new.whole and new.to_document(0, 1)).encode()
+            digest = hashlib.blake2b(new.text.encode("utf-8", "surrogatepass"), digest_size=16).digest() + repr(new.place).encode()
             if digest not in seen:
                 seen.add(digest)
                 work.append(new)

@@ -174,6 +174,15 @@ def test_layers_are_unwrapped_and_mapped():
     assert secrets.scan("%2541KIA" + "Z" * 16) == ([], [(0, 1, 24)])
 
 
+def test_equal_nested_tokens_are_all_reported():
+    one = base64.b64encode(b"token%3Dabcdefgh").decode()
+    for text in (f"{one} and {one}", "\n".join([one] * 3)):
+        places = [(m.start(), 0, m.end()) for m in re.finditer(re.escape(one), text)]
+        assert secrets.scan(text) == ([], places)
+    twice = base64.b64encode(f"{one}".encode()).decode()
+    assert len(secrets.scan(f"{twice} {twice}")[1]) == 2
+
+
 def test_scan_ends_on_cycles_and_bombs():
     bomb = base64.b64encode(gzip.compress(b"0" * (64 << 20))).decode()
     assert secrets.scan(bomb, max_layer=1 << 16)[0] == []
