@@ -45,6 +45,11 @@ URL_RUN = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 UNICODE_RUN = re.compile(r"(?:\\u\{[0-9A-Fa-f]{1,6}\}|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#x[0-9A-Fa-f]{1,6};|&#[0-9]{1,7};)+")
 UNICODE_ONE = re.compile(r"\\u\{([0-9A-Fa-f]+)\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#x([0-9A-Fa-f]+);|&#([0-9]+);")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: Signs of the base64 alphabets that also part a path or an identifier.
+SIGN = re.compile(r"[/_-]")
+#: Text within decoded bytes, and the first bytes of compressed streams.
+PRINTABLE = re.compile(rb"[\t\n\r\x20-\x7e]{12,}")
+MAGIC = re.compile(rb"\x1f\x8b\x08|BZh[1-9]1AY&SY|\xfd7zXZ\x00|\x28\xb5\x2f\xfd|\x78[\x01\x5e\x9c\xda]")
 _URLSAFE = str.maketrans("-_", "+/")
 
 #: Bytes that one compressed layer may grow to.
@@ -143,44 +148,89 @@ def _unicode(run: str) -> Iterator[tuple[str, int, int]]:
         high = None
 
 
+def _decoder(raw: bytes):
+    """A decompressor for a stream that starts so; None if it is none."""
+    if raw[:2] == b"\x1f\x8b" or raw[:1] == b"\x78" and len(raw) > 2 and int.from_bytes(raw[:2], "big") % 31 == 0:
+        return zlib.decompressobj(wbits=47)
+    if raw[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    if raw[:6] == b"\xfd7zXZ\x00":
+        return lzma.LZMADecompressor(memlimit=256 << 20)
+    return None
+
+
 def _inflate(raw: bytes, most: int) -> bytes | None:
-    """Up to ``most`` bytes of a compressed stream; None if it is none."""
+    """Up to ``most`` bytes of a compressed stream, all its members; None if it is none."""
+    out, size = [], 0
     try:
-        if raw[:2] == b"\x1f\x8b" or raw[:1] == b"\x78" and len(raw) > 2 and int.from_bytes(raw[:2], "big") % 31 == 0:
-            return zlib.decompressobj(wbits=47).decompress(raw, most)
-        if raw[:3] == b"BZh":
-            return bz2.BZ2Decompressor().decompress(raw, most)
-        if raw[:6] == b"\xfd7zXZ\x00":
-            return lzma.LZMADecompressor(memlimit=256 << 20).decompress(raw, most)
         if raw[:4] == b"\x28\xb5\x2f\xfd":
             import zstandard
 
-            return zstandard.ZstdDecompressor().stream_reader(raw).read(most)
-    except Exception as error:  # a broken stream of any codec is plain text
+            return zstandard.ZstdDecompressor().stream_reader(raw, read_across_frames=True).read(most)
+        while size < most and (decoder := _decoder(raw)) is not None:
+            out.append(decoder.decompress(raw, most - size))
+            size += len(out[-1])
+            raw = decoder.unused_data.lstrip(b"\0") if decoder.eof else b""  # members may be padded
+    except Exception as error:  # a broken stream of any codec is plain text, broken members behind whole ones are left
         if not isinstance(error, (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError)) and type(error).__name__ != "ZstdError":
             raise
-    return None
+    return b"".join(out) if out else None
 
 
-def _readable(raw: bytes) -> str | None:
+def _readable(raw: bytes, cut: bool = False) -> str | None:
     try:
         text = raw.decode()
-    except UnicodeDecodeError:
-        return None
+    except UnicodeDecodeError as error:
+        if not cut or error.end < len(raw) or error.reason != "unexpected end of data":
+            return None
+        text = raw[: error.start].decode()  # the bound cut a character
     odd = sum(1 for c in text if c < " " and c not in "\t\n\r")
     return text if text and odd * 20 <= len(text) else None
 
 
+def _unpacked(token: str, most: int) -> str | None:
+    """The text of a base64 token, decompressed; None if it is none."""
+    raw, cut = base64.b64decode(token + "=" * (-len(token) % 4)), False
+    while (inner := _inflate(raw, most)) is not None and inner != raw:
+        raw, cut = inner, len(inner) >= most
+    return _readable(raw, cut)
+
+
 def _base64_layers(layer: _Layer, most: int) -> Iterator[_Layer]:
     for m in BASE64.finditer(layer.text):
-        token = m[0].rstrip("=").translate(_URLSAFE)
-        if len(token) % 4 == 1:
+        token, start = m[0].rstrip("="), m.start()
+        plain = token.translate(_URLSAFE)
+        if len(token) % 4 != 1 and (text := _unpacked(plain, most)) is not None:
+            yield _Layer(text, layer, whole=(start, m.end()))
             continue
-        raw = base64.b64decode(token + "=" * (-len(token) % 4))
-        while (inner := _inflate(raw, most)) is not None and inner != raw:
-            raw = inner
-        if (text := _readable(raw)) is not None:
-            yield _Layer(text, layer, whole=(m.start(), m.end()))
+        # Something may stand before or behind the token: its parts, then each start behind a sign, then other alignments.
+        signs = [k.end() for k in SIGN.finditer(token)]
+        done = 0  # characters before it are read
+        for a, b in zip([0, *signs], [*(k - 1 for k in signs), len(token)], strict=True):
+            if a < done:
+                continue
+            for end in dict.fromkeys((len(token), b)):
+                if end - a < 16 or (end - a) % 4 == 1 or (a, end) == (0, len(token)) or not _begins(plain[a : a + 24]):
+                    continue
+                if (text := _unpacked(plain[a:end], most)) is not None:
+                    yield _Layer(text, layer, whole=(start + a, m.end() if end == len(token) else start + end))
+                    done = end
+                    break
+        for shift in range(4) if not done else ():
+            part = plain[shift : len(plain) - (len(plain) - shift) % 4 if (len(plain) - shift) % 4 == 1 else len(plain)]
+            raw = base64.b64decode(part + "=" * (-len(part) % 4))
+            for run in PRINTABLE.finditer(raw):
+                a, b = shift + run.start() * 4 // 3, min(len(token), shift - (-run.end() * 4 // 3))
+                yield _Layer(run[0].decode(), layer, whole=(start + a, start + b))
+            for magic in MAGIC.finditer(raw):
+                if (inner := _inflate(raw[magic.start() :], most)) and (text := _readable(inner, len(inner) >= most)) is not None:
+                    yield _Layer(text, layer, whole=(start + shift + magic.start() * 4 // 3, m.end()))
+
+
+def _begins(head: str) -> bool:
+    """Whether base64 that starts so may hold text or a compressed stream."""
+    raw = base64.b64decode(head[: len(head) // 4 * 4])
+    return MAGIC.match(raw) is not None or raw[:1] == b"\x78" or sum(c < 32 and c not in b"\t\n\r" for c in raw) <= 1
 
 
 def scan(text: str | None, max_layer: int = MAX_LAYER) -> tuple[list[Span], list[Span]]:

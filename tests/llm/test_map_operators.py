@@ -1,11 +1,15 @@
 """Operators that look at one row at a time: HTML, quality, secrets, decontamination."""
 
 import base64
+import bz2
 import gzip
+import lzma
 import re
 import urllib.parse
+import zlib
 
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from glyphmill.llm import decontamination, html, quality, secrets
@@ -183,6 +187,26 @@ def test_equal_nested_tokens_are_all_reported():
     assert len(secrets.scan(f"{twice} {twice}")[1]) == 2
 
 
+@pytest.mark.parametrize("pack", [gzip.compress, zlib.compress, bz2.compress, lzma.compress, zstandard.compress])
+def test_all_members_of_a_stream_are_read(pack):
+    token = base64.b64encode(pack(b"first part ") + pack(b"token=abcdefghij")).decode()
+    assert secrets.scan(token) == ([], [(0, 0, len(token))])
+
+
+def test_a_bound_within_a_character_keeps_the_layer():
+    token = base64.b64encode(gzip.compress(("token=abcdefghij " + "\u00e9" * 100).encode())).decode()
+    assert [s[1] for s in secrets.scan(token, max_layer=100)[1]] == [0]
+
+
+def test_tokens_behind_a_path_or_prefix_are_decoded():
+    token = base64.b64encode(b"password=hunter2hunter").decode().rstrip("=")
+    for before in ("example.com/path/", "id_", "a/b-c_", "x/"):
+        assert secrets.scan(before + token)[1] == [(len(before), 0, len(before + token))], before
+    assert secrets.scan(f"{token}/tail/of/it")[1] == [(0, 0, len(token))]
+    for before in ("q", "qz", "qzx"):
+        assert [k for _, k, _ in secrets.scan(before + token)[1]] == [0], before
+
+
 def test_scan_ends_on_cycles_and_bombs():
     bomb = base64.b64encode(gzip.compress(b"0" * (64 << 20))).decode()
     assert secrets.scan(bomb, max_layer=1 << 16)[0] == []
