@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import os
 import uuid
+from collections.abc import Callable
 from functools import lru_cache
 
 import pyarrow as pa
@@ -44,6 +45,30 @@ def release() -> None:
     _trim()(0)
 
 
+def named(column: str) -> Column:
+    """A column by its plain name, whatever signs stand in it."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def shielded(docs: DataFrame, used: dict[str, str], outputs: list[str]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """(inner table, restore): an operator's steps see the columns they use, under names of their own, and no other's names.
+
+    ``used``: inner name to the name in ``docs``. All other columns are carried as
+    ``_x0``, ``_x1``, ... and ``restore`` gives them their names back, in their places,
+    with ``outputs`` behind. A column of ``docs`` that has the name of an output is
+    replaced by it; used ones come back as the inner steps leave them.
+    """
+    replaced = {c.lower() for c in outputs}
+    back = {name: inner for inner, name in reversed(used.items())}
+    places = [(c, back.get(c, f"_x{k}")) for k, c in enumerate(docs.columns) if c in back or c.lower() not in replaced]
+    inner = docs.select(*(named(c).alias(inner) for inner, c in used.items()), *(named(c).alias(x) for c, x in places if c not in back))
+
+    def restore(done: DataFrame) -> DataFrame:
+        return done.select(*(F.col(x).alias(c) for c, x in places), *(F.col(o) for o in outputs))
+
+    return inner, restore
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the input folder; works for any path that Spark's readers open."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")

@@ -17,7 +17,8 @@ Only hashes and positions are shuffled in 1-3; texts move once, in 4.
 Defined cases: a null or empty text is one empty line; keys under ``min_chars``
 code points are never dropped; a text whose lines all go becomes empty; repeated
 rows of one id count as one document and are all cleaned; null ids count as one
-document; extra columns stay, even with the names used here.
+document; extra columns stay, whatever their names, but for ``n_lines`` and
+``n_dropped``, which the results replace.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, Scratch, ascii_lower
+from .common import ASCII_SPACE, Scratch, ascii_lower, shielded
 
 
 def line_key(line: Column) -> Column:
@@ -38,8 +39,7 @@ def drop_common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -
 
     Uses the columns ``doc_id`` and ``text``; the others pass through.
     """
-    clash = [c for c in ("n_lines", "n_dropped") if c in docs.columns]
-    docs = docs.drop(*clash)
+    docs, restore = shielded(docs, {"doc_id": "doc_id", "text": "text"}, ["n_lines", "n_dropped"])
     whole = F.coalesce("text", F.lit(""))
     # A row is known by its id and a hash of its text: ids may repeat or be null.
     row = docs.select(F.col("doc_id").alias("_id"), F.xxhash64(whole).alias("_sig"), whole.alias("_text"))
@@ -63,7 +63,7 @@ def drop_common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -
     text = F.when(F.col("_gone").isNull(), whole).otherwise(F.array_join(F.transform(stay, lambda k: F.get("_parts", k)), "\n"))
     out = joined.withColumn("_parts", parts).withColumn("n_lines", F.size("_parts").cast("long"))
     out = out.withColumn("n_dropped", F.when(F.col("_gone").isNull(), F.lit(0)).otherwise(F.size("_gone")).cast("long"))
-    return out.withColumn("text", text).select(*docs.columns, "n_lines", "n_dropped")
+    return restore(out.withColumn("text", text))
 
 
 #: DuckDB: one row per document, as the registered query returns it.

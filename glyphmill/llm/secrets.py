@@ -9,28 +9,37 @@ of each layer and its place stops cycles. Each layer knows how its characters ma
 parent, so a span found at any depth is reported in the document's own code
 points: exactly for escapes, as the whole token for base64.
 
+A compressed stream is read to its end, all its members and streams within it,
+but never held whole: it is scanned in windows of ``window`` bytes, each with the
+last ``OVERLAP`` characters of the one before, so what it grows to costs time and
+no memory. A secret, or a token within the stream, that is longer than the
+overlap may be seen in parts where a window ends.
+
 Defined cases: null or empty text has no spans; an undecodable token is plain
-text; a stream that grows beyond ``max_layer`` bytes is read up to that size, so
-that a decompression bomb cannot exhaust a worker (documents themselves are
-never cut). Repeated rows give repeated rows.
+text; a stream that breaks off is read up to there; equal windows of a
+decompression bomb are scanned once; an escape that escapes itself over and
+over (``%252525..``) is folded in one step. Repeated rows give repeated rows. Extra columns
+stay, but for ``base_spans`` and ``spans``, which the results replace.
 """
 
 from __future__ import annotations
 
 import base64
 import bz2
+import codecs
 import hashlib
 import lzma
 import re
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release
+from .common import release, shielded
 
 #: The kinds in the order that breaks ties between equal starts.
 KINDS = ("assign", "access", "hex")
@@ -42,6 +51,8 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 MIN_ASSIGN, MIN_ACCESS = 6, 20
 
 URL_RUN = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
+#: An escape sign that is itself escaped four times or more.
+FOLDED = re.compile(r"%(?:25){4,}(?=[0-9A-Fa-f]{2})|\\(?:u005[cC]){4,}(?=[uxU])|&(?:#(?:38|[xX]26);){4,}(?=#)")
 UNICODE_RUN = re.compile(r"(?:\\u\{[0-9A-Fa-f]{1,6}\}|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#x[0-9A-Fa-f]{1,6};|&#[0-9]{1,7};)+")
 UNICODE_ONE = re.compile(r"\\u\{([0-9A-Fa-f]+)\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#x([0-9A-Fa-f]+);|&#([0-9]+);")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
@@ -49,11 +60,17 @@ BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 SIGN = re.compile(r"[/_-]")
 #: Text within decoded bytes, and the first bytes of compressed streams.
 PRINTABLE = re.compile(rb"[\t\n\r\x20-\x7e]{12,}")
+PRINTABLE16 = re.compile(rb"(?:[\t\n\r\x20-\x7e]\x00){12,}|(?:\x00[\t\n\r\x20-\x7e]){12,}")
+ZSTD = b"\x28\xb5\x2f\xfd"
+_CONTROL = [chr(c) for c in range(32) if chr(c) not in "\t\n\r"]
 MAGIC = re.compile(rb"\x1f\x8b\x08|BZh[1-9]1AY&SY|\xfd7zXZ\x00|\x28\xb5\x2f\xfd|\x78[\x01\x5e\x9c\xda]")
 _URLSAFE = str.maketrans("-_", "+/")
 
-#: Bytes that one compressed layer may grow to.
-MAX_LAYER = 16 << 20
+#: Decompressed bytes that are scanned at once, and the characters that windows share.
+WINDOW, OVERLAP = 4 << 20, 64 << 10
+#: Streams within streams: one that holds itself would never end.
+MAX_NESTED = 32
+_PIECE = 1 << 18
 
 Span = tuple[int, int, int]  # start, kind's index, end
 
@@ -95,8 +112,8 @@ class _Layer:
         return start, end
 
 
-def _replaced(layer: _Layer, runs: re.Pattern, decode) -> _Layer | None:
-    """The layer with every run of escapes decoded; None if nothing changes."""
+def _replaced(layer: _Layer, runs: re.Pattern, decode) -> Iterator[_Layer]:
+    """The layer with every run of escapes decoded; nothing if nothing changes."""
     text, parts, starts, sources, at, length = layer.text, [], [], [], 0, 0
 
     def put(piece: str, start: int, end: int, same: bool) -> None:
@@ -113,10 +130,9 @@ def _replaced(layer: _Layer, runs: re.Pattern, decode) -> _Layer | None:
                 put(text[at : m.start() + start], at, m.start() + start, True)
             put(piece, m.start() + start, m.start() + end, False)
             at = m.start() + end
-    if not any(not same for _, _, same in sources):
-        return None
-    put(text[at:], at, len(text), True)
-    return _Layer("".join(parts), layer, starts, sources)
+    if not all(same for _, _, same in sources):
+        put(text[at:], at, len(text), True)
+        yield _Layer("".join(parts), layer, starts, sources)
 
 
 def _url(run: str) -> Iterator[tuple[str, int, int]]:
@@ -148,6 +164,10 @@ def _unicode(run: str) -> Iterator[tuple[str, int, int]]:
         high = None
 
 
+def _fold(run: str) -> Iterator[tuple[str, int, int]]:
+    yield run[0], 0, len(run)
+
+
 def _decoder(raw: bytes):
     """A decompressor for a stream that starts so; None if it is none."""
     if raw[:2] == b"\x1f\x8b" or raw[:1] == b"\x78" and len(raw) > 2 and int.from_bytes(raw[:2], "big") % 31 == 0:
@@ -159,49 +179,147 @@ def _decoder(raw: bytes):
     return None
 
 
-def _inflate(raw: bytes, most: int) -> bytes | None:
-    """Up to ``most`` bytes of a compressed stream, all its members; None if it is none."""
-    out, size = [], 0
+class _Pieces:
+    """A file over pieces of bytes, for readers that ask for so many."""
+
+    def __init__(self, pieces: Iterator[bytes]) -> None:
+        self.pieces, self.left = pieces, b""
+
+    def read(self, n: int = -1) -> bytes:
+        while not self.left:
+            if (piece := next(self.pieces, None)) is None:
+                return b""
+            self.left = piece
+        out, self.left = (self.left, b"") if n < 0 else (self.left[:n], self.left[n:])
+        return out
+
+
+def _broken(error: Exception) -> bool:
+    """Whether the error is a codec's, of a stream that is none or breaks off."""
+    return isinstance(error, (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError)) or type(error).__name__ == "ZstdError"
+
+
+def _expanded(pieces: Iterator[bytes]) -> Iterator[bytes]:
+    """The content of a stream, all its members, in pieces; it ends where the stream breaks."""
+    held = next(pieces, b"")
+    try:
+        if held[:4] == ZSTD:
+            import zstandard
+
+            reader = zstandard.ZstdDecompressor().stream_reader(_Pieces(chain([held], pieces)), read_across_frames=True)
+            while out := reader.read(_PIECE):
+                yield out
+            return
+        while (decoder := _decoder(held)) is not None:
+            while True:
+                out = decoder.decompress(held, _PIECE)
+                if out:
+                    yield out
+                if decoder.eof:
+                    break
+                held = getattr(decoder, "unconsumed_tail", b"")
+                if not held and len(out) < _PIECE:
+                    if (more := next(pieces, None)) is None:
+                        return
+                    held = more
+            held = decoder.unused_data.lstrip(b"\0")  # members may be padded
+            while len(held) < 6 and (more := next(pieces, None)) is not None:
+                held = (held + more).lstrip(b"\0")
+    except Exception as error:  # what follows a break is left
+        if not _broken(error):
+            raise
+
+
+def _compressed(head: bytes) -> bool:
+    """Whether bytes that start so are a compressed stream."""
     try:
-        if raw[:4] == b"\x28\xb5\x2f\xfd":
+        if head[:4] == ZSTD:
             import zstandard
 
-            return zstandard.ZstdDecompressor().stream_reader(raw, read_across_frames=True).read(most)
-        while size < most and (decoder := _decoder(raw)) is not None:
-            out.append(decoder.decompress(raw, most - size))
-            size += len(out[-1])
-            raw = decoder.unused_data.lstrip(b"\0") if decoder.eof else b""  # members may be padded
-    except Exception as error:  # a broken stream of any codec is plain text, broken members behind whole ones are left
-        if not isinstance(error, (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError)) and type(error).__name__ != "ZstdError":
+            zstandard.ZstdDecompressor().stream_reader(head, read_across_frames=True).read(64)
+            return True
+        if (decoder := _decoder(head)) is not None:
+            decoder.decompress(head[:_PIECE], 64)
+            return True
+    except Exception as error:
+        if not _broken(error):
             raise
-    return b"".join(out) if out else None
+    return False
+
+
+def _stream(raw: bytes) -> Iterator[bytes] | None:
+    """The content of a compressed stream, and of the streams within it, in pieces; None if it is none."""
+    if not _compressed(raw):
+        return None
+    pieces: Iterator[bytes] = iter([raw])
+    for _ in range(MAX_NESTED):
+        pieces, head = _expanded(pieces), b""
+        while len(head) < 1024 and (piece := next(pieces, None)) is not None:
+            head += piece
+        pieces = chain([head], pieces)
+        if not _compressed(head):
+            return pieces
+    return None
+
+
+def _encoding(raw: bytes) -> str | None:
+    """How text starts so: UTF-8, or UTF-16 by its mark or its zeros; None if it is no text."""
+    if raw[:2] in (b"\xff\xfe", b"\xfe\xff"):
+        return "utf-16"
+    if raw[:512].count(0) * 3 >= len(raw[:512]) > 1:
+        return "utf-16-le" if raw[:512:2].count(0) < raw[1:512:2].count(0) else "utf-16-be"
+    return "utf-8"
 
 
 def _readable(raw: bytes, cut: bool = False) -> str | None:
+    """The bytes as text; None if they are none. ``cut``: the last character may be cut off."""
     try:
-        text = raw.decode()
-    except UnicodeDecodeError as error:
-        if not cut or error.end < len(raw) or error.reason != "unexpected end of data":
-            return None
-        text = raw[: error.start].decode()  # the bound cut a character
-    odd = sum(1 for c in text if c < " " and c not in "\t\n\r")
+        text = codecs.getincrementaldecoder(_encoding(raw))().decode(raw, not cut)
+    except UnicodeDecodeError:
+        return None
+    odd = sum(map(text.count, _CONTROL))
     return text if text and odd * 20 <= len(text) else None
 
 
-def _unpacked(token: str, most: int) -> str | None:
-    """The text of a base64 token, decompressed; None if it is none."""
-    raw, cut = base64.b64decode(token + "=" * (-len(token) % 4)), False
-    while (inner := _inflate(raw, most)) is not None and inner != raw:
-        raw, cut = inner, len(inner) >= most
-    return _readable(raw, cut)
+def _texts(token: str, window: int) -> Iterator[str]:
+    """The text of a base64 token, decompressed, in overlapping windows; nothing if it is none."""
+    yield from _contents(base64.b64decode(token + "=" * (-len(token) % 4)), window)
 
 
-def _base64_layers(layer: _Layer, most: int) -> Iterator[_Layer]:
+def _contents(raw: bytes, window: int) -> Iterator[str]:
+    pieces = _stream(raw)
+    if pieces is None:
+        if (text := _readable(raw)) is not None:
+            yield text
+        return
+    decoder, tail, held, size = None, "", [], 0
+    while True:
+        piece = next(pieces, None)
+        if piece:
+            held.append(piece)
+            size += len(piece)
+        if size >= window or piece is None and (held or decoder is None):
+            block = b"".join(held)
+            if decoder is None:
+                if _readable(block, cut=True) is None:
+                    return
+                decoder = codecs.getincrementaldecoder(_encoding(block))("replace")
+            text = tail + decoder.decode(block, piece is None)
+            yield text
+            tail, held, size = text[-OVERLAP:], [], 0
+        if piece is None:
+            return
+
+
+def _base64_layers(layer: _Layer, window: int) -> Iterator[_Layer]:
     for m in BASE64.finditer(layer.text):
         token, start = m[0].rstrip("="), m.start()
         plain = token.translate(_URLSAFE)
-        if len(token) % 4 != 1 and (text := _unpacked(plain, most)) is not None:
+        whole = False
+        for text in _texts(plain, window) if len(token) % 4 != 1 else ():
+            whole = True
             yield _Layer(text, layer, whole=(start, m.end()))
+        if whole:
             continue
         # Something may stand before or behind the token: its parts, then each start behind a sign, then other alignments.
         signs = [k.end() for k in SIGN.finditer(token)]
@@ -212,9 +330,10 @@ def _base64_layers(layer: _Layer, most: int) -> Iterator[_Layer]:
             for end in dict.fromkeys((len(token), b)):
                 if end - a < 16 or (end - a) % 4 == 1 or (a, end) == (0, len(token)) or not _begins(plain[a : a + 24]):
                     continue
-                if (text := _unpacked(plain[a:end], most)) is not None:
+                for text in _texts(plain[a:end], window):
                     yield _Layer(text, layer, whole=(start + a, m.end() if end == len(token) else start + end))
                     done = end
+                if done == end:
                     break
         for shift in range(4) if not done else ():
             part = plain[shift : len(plain) - (len(plain) - shift) % 4 if (len(plain) - shift) % 4 == 1 else len(plain)]
@@ -222,53 +341,68 @@ def _base64_layers(layer: _Layer, most: int) -> Iterator[_Layer]:
             for run in PRINTABLE.finditer(raw):
                 a, b = shift + run.start() * 4 // 3, min(len(token), shift - (-run.end() * 4 // 3))
                 yield _Layer(run[0].decode(), layer, whole=(start + a, start + b))
+            for run in PRINTABLE16.finditer(raw):
+                a, b = shift + run.start() * 4 // 3, min(len(token), shift - (-run.end() * 4 // 3))
+                yield _Layer(run[0][::2].decode() if run[0][1] == 0 else run[0][1::2].decode(), layer, whole=(start + a, start + b))
             for magic in MAGIC.finditer(raw):
-                if (inner := _inflate(raw[magic.start() :], most)) and (text := _readable(inner, len(inner) >= most)) is not None:
-                    yield _Layer(text, layer, whole=(start + shift + magic.start() * 4 // 3, m.end()))
+                if _compressed(raw[magic.start() :]):
+                    for text in _contents(raw[magic.start() :], window):
+                        yield _Layer(text, layer, whole=(start + shift + magic.start() * 4 // 3, m.end()))
+
+
+def _layers(layer: _Layer, window: int) -> Iterator[_Layer]:
+    """All layers that one unwrapping of ``layer`` gives, one at a time."""
+    yield from _base64_layers(layer, window)
+    if "%" in layer.text:
+        yield from _replaced(layer, URL_RUN, _url)
+    if "\\" in layer.text or "&#" in layer.text:
+        yield from _replaced(layer, UNICODE_RUN, _unicode)
+    yield from _replaced(layer, FOLDED, _fold)
 
 
 def _begins(head: str) -> bool:
     """Whether base64 that starts so may hold text or a compressed stream."""
     raw = base64.b64decode(head[: len(head) // 4 * 4])
-    return MAGIC.match(raw) is not None or raw[:1] == b"\x78" or sum(c < 32 and c not in b"\t\n\r" for c in raw) <= 1
+    return MAGIC.match(raw) is not None or raw[:1] == b"\x78" or _encoding(raw) != "utf-8" or sum(c < 32 and c not in b"\t\n\r" for c in raw) <= 1
 
 
-def scan(text: str | None, max_layer: int = MAX_LAYER) -> tuple[list[Span], list[Span]]:
+def scan(text: str | None, window: int = WINDOW) -> tuple[list[Span], list[Span]]:
     """(plain spans, all spans) of one document, each sorted by start, kind and end."""
     if not text:
         return [], []
     plain = base_spans(text)
-    found, seen, work = set(plain), {hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()}, [_Layer(text)]
+    root = _Layer(text)
+    # The worklist: what is still to be unwrapped of each layer, the innermost last, so that a long stream is read window by window.
+    found, seen, work = set(plain), {_digest(root)}, [_layers(root, window)]
     while work:
-        layer = work.pop()
-        inner = [*_base64_layers(layer, max_layer)]
-        if "%" in layer.text:
-            inner.append(_replaced(layer, URL_RUN, _url))
-        if "\\" in layer.text or "&#" in layer.text:
-            inner.append(_replaced(layer, UNICODE_RUN, _unicode))
-        for new in inner:
-            if new is None:
-                continue
-            digest = hashlib.blake2b(new.text.encode("utf-8", "surrogatepass"), digest_size=16).digest() + repr(new.place).encode()
-            if digest not in seen:
-                seen.add(digest)
-                work.append(new)
-                for start, kind, end in base_spans(new.text):
-                    a, b = new.to_document(start, end)
-                    found.add((a, kind, b))
+        new = next(work[-1], None)
+        if new is None:
+            work.pop()
+            continue
+        digest = _digest(new)
+        if digest not in seen:
+            seen.add(digest)
+            work.append(_layers(new, window))
+            for start, kind, end in base_spans(new.text):
+                a, b = new.to_document(start, end)
+                found.add((a, kind, b))
     return plain, sorted(found)
 
 
+def _digest(layer: _Layer) -> bytes:
+    return hashlib.blake2b(layer.text.encode("utf-8", "surrogatepass"), digest_size=16).digest() + repr(layer.place).encode()
+
+
 def rendered(spans: list[Span]) -> str:
     """Spans as ``kind:start:end`` joined by commas."""
     return ",".join(f"{KINDS[kind]}:{start}:{end}" for start, kind, end in spans)
 
 
-def find_secrets(docs: DataFrame, text: str = "text", max_layer: int = MAX_LAYER) -> DataFrame:
+def find_secrets(docs: DataFrame, text: str = "text", window: int = WINDOW) -> DataFrame:
     """Add ``base_spans`` and ``spans`` (arrays of struct<kind,start,end>) to ``docs``.
 
     A map over rows without any exchange; memory is bounded by one Arrow batch
-    and the layers of one document.
+    and, of one document, its text, the layers that lie within each other, and their windows.
     """
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
     both = pa.struct([("base_spans", span), ("spans", span)])
@@ -279,10 +413,11 @@ def find_secrets(docs: DataFrame, text: str = "text", max_layer: int = MAX_LAYER
     @F.arrow_udf("struct<base_spans:array<struct<kind:string,start:bigint,end:bigint>>,spans:array<struct<kind:string,start:bigint,end:bigint>>>")
     def scanned(texts: pa.Array) -> pa.Array:
         release()
-        rows = (scan(t.as_py(), max_layer) for t in texts)
+        rows = (scan(t.as_py(), window) for t in texts)
         return pa.array(({"base_spans": named(a), "spans": named(b)} for a, b in rows), both)
 
-    return docs.withColumn("_secrets", scanned(F.col(text))).select("*", "_secrets.base_spans", "_secrets.spans").drop("_secrets")
+    inner, restore = shielded(docs, {"_text": text}, ["base_spans", "spans"])
+    return restore(inner.withColumn("_secrets", scanned("_text")).select("*", "_secrets.base_spans", "_secrets.spans"))
 
 
 def span_text(spans: str):

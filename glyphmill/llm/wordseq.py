@@ -1,15 +1,15 @@
 """Word sequences of a batch of texts as arrays: bounds, hashes and window hashes.
 
-Words are runs of anything but ASCII white space. Every word gets two 64-bit
-hashes of its bytes; a prefix sum of these, weighted by powers of an odd number
-modulo 2**64, then gives the hash of any run of words with a subtraction and
+Words are runs of anything but ASCII white space. Every lane has its own 64-bit
+hash of a word's bytes: eight bytes at a time go through a mixing step that is
+chained from one to the next and starts from the lane's seed. A prefix sum of these, weighted by powers of an odd number
+modulo 2**64, then gives the hash of a short run of words with a subtraction and
 one multiplication, whatever white space stands between them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,11 +27,6 @@ _BASE = np.array([0x9E3779B97F4A7C15, 0xD1342543DE82EF95], np.uint64)
 _INVERSE = np.array([pow(int(b), -1, 1 << 64) for b in _BASE], np.uint64)
 
 
-@lru_cache(maxsize=1)
-def _byte_values() -> np.ndarray:
-    return mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
-
-
 def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every bit."""
     x = x + np.uint64(salt)
@@ -40,6 +35,36 @@ def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: Where the chain of each lane starts.
+_SEEDS = (0xA0761D6478BD642F, 0x2D358DCCAA6C78A5)
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 512
+
+
+def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, lane: int = 0) -> np.ndarray:
+    """A 64-bit hash of the bytes [start, end) of every word."""
+    padded = np.concatenate([raw, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(raw) + 1,), "<u8", padded, strides=(1,))  # the eight bytes from each place on
+    size = ends - starts
+    out = np.full(len(starts), _SEEDS[lane], np.uint64)
+    own = np.arange(len(starts))
+    for step in range(0, LONG_WORD, 8):
+        if not len(own):
+            break
+        left = size[own] - step
+        value = eight[starts[own] + step]
+        cut = left < 8
+        value[cut] &= (np.uint64(1) << (8 * left[cut]).astype(np.uint64)) - np.uint64(1)
+        out[own] = mix(out[own] ^ value, step + 1)
+        own = own[left > 8]
+    if len(own):
+        from xxhash import xxh3_64_intdigest
+
+        for k in own.tolist():
+            out[k] = xxh3_64_intdigest(raw[starts[k] : ends[k]].tobytes(), _SEEDS[lane])
+    return mix(out ^ (size.astype(np.uint64) * np.uint64(0xE7037ED1A0B428DB)))
+
+
 _powers: list[np.ndarray] = []
 
 
@@ -79,14 +104,11 @@ class Words:
         #: Words of document d are first[d] up to first[d + 1].
         self.first = np.searchsorted(self.starts, bounds)
         self.first[-1] = len(self.starts)
-        values = _byte_values()[raw] * powers(0, len(raw))
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values, dtype=np.uint64)])
-        own = (sums[self.ends] - sums[self.starts]) * powers(0, max(1, len(raw)), True)[self.starts]
-        own = own + (self.ends - self.starts).astype(np.uint64) * np.uint64(0xE7037ED1A0B428DB)
-        self.hashes = mix(own)
+        self.hashes = word_hashes(raw, self.starts, self.ends)
         self._sums = []
         for lane in range(lanes):
-            weighted = mix(own, 1 + lane) * powers(lane, len(own))
+            own = word_hashes(raw, self.starts, self.ends, lane) if lane else self.hashes
+            weighted = own * powers(lane, len(own))
             self._sums.append(np.concatenate([np.zeros(1, np.uint64), np.cumsum(weighted, dtype=np.uint64)]))
 
     def runs(self, starts: np.ndarray, ends: np.ndarray, lane: int = 0) -> np.ndarray:

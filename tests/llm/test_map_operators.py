@@ -195,7 +195,7 @@ def test_all_members_of_a_stream_are_read(pack):
 
 def test_a_bound_within_a_character_keeps_the_layer():
     token = base64.b64encode(gzip.compress(("token=abcdefghij " + "\u00e9" * 100).encode())).decode()
-    assert [s[1] for s in secrets.scan(token, max_layer=100)[1]] == [0]
+    assert [s[1] for s in secrets.scan(token, window=100)[1]] == [0]
 
 
 def test_tokens_behind_a_path_or_prefix_are_decoded():
@@ -207,17 +207,41 @@ def test_tokens_behind_a_path_or_prefix_are_decoded():
         assert [k for _, k, _ in secrets.scan(before + token)[1]] == [0], before
 
 
+@pytest.mark.parametrize("pack", [gzip.compress, zlib.compress, bz2.compress, lzma.compress, zstandard.compress])
+def test_long_streams_are_read_to_the_end(pack):
+    """A secret behind 20 MB, one that two windows share, and one in a stream within the stream."""
+    token = base64.b64encode(pack(pack(b"plain words " * 1_700_000 + b"token=abcdefghij"))).decode()
+    assert secrets.scan(token)[1] == [(0, 0, len(token))]
+    body = b"x" * 995 + b" token=abcdefghij " + b"y" * 3000
+    token = base64.b64encode(pack(body)).decode()
+    assert secrets.scan(token, window=1000)[1] == [(0, 0, len(token))]
+
+
+def test_utf16_and_nested_escapes():
+    for code in ("utf-16", "utf-16-le", "utf-16-be"):
+        token = base64.b64encode("password=hunter2hunter".encode(code)).decode()
+        assert secrets.scan(token)[1] == [(0, 0, len(token))], code
+        assert secrets.scan("x/y/" + token)[1] == [(4, 0, 4 + len(token))], code
+    for depth in (1, 3, 4, 5, 40, 3000):
+        text = "password%" + "25" * depth + "3Dabcdefgh"
+        assert (0, 0, len(text)) in secrets.scan(text)[1], depth
+        text = "\\" + "u005c" * depth + "u0070assword=abcdefgh"
+        assert secrets.scan(text) == ([], [(0, 0, len(text))]), depth
+    text = "x^ plain text that starts like a stream: token=abcdefgh"
+    assert [k for _, k, _ in secrets.scan(base64.b64encode(text.encode()).decode())[1]] == [0]
+
+
 def test_scan_ends_on_cycles_and_bombs():
     bomb = base64.b64encode(gzip.compress(b"0" * (64 << 20))).decode()
-    assert secrets.scan(bomb, max_layer=1 << 16)[0] == []
+    assert secrets.scan(bomb, window=1 << 16)[0] == []
     assert secrets.scan("%25" * 5000) == ([], [])
     assert secrets.scan(None) == ([], []) and secrets.scan("") == ([], [])
 
 
 def test_secrets_frame(spark):
     docs = texts(spark, [(1, "token: abcdefg", "s"), (2, None, None), (2, None, None)], "doc_id bigint, text string, spans string")
-    rows = secrets.find_secrets(docs.withColumnRenamed("spans", "other")).collect()
-    assert len(rows[0]["base_spans"]) == 1 and rows[1]["spans"] == []
+    rows = secrets.find_secrets(docs).collect()
+    assert len(rows[0]["base_spans"]) == len(rows[0]["spans"]) == 1 and rows[1]["spans"] == []
 
 
 # Decontamination
