@@ -8,7 +8,10 @@ plus one for each comma, plus one for each hundred characters up to three; the
 nearest container gets them whole, the next a half, further ones a third of their
 distance less. A container's points are discounted by its link density. The best
 container is kept together with those of its siblings that read like text; their
-blocks, in page order, are the main text.
+blocks, in page order, are the main text. If the best container stands within an
+``article``, or else a ``main``, all of that is kept, short sections too.
+
+Only void elements, and those of drawings and formulas, close themselves by a slash.
 
 Defined cases: null or empty html gives an empty text; unclosed elements are
 closed where the next block or their parent ends; a tag that the end of the page
@@ -19,6 +22,7 @@ Repeated rows give repeated rows; a page of any length is read whole.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 from html import unescape
 
 import pyarrow as pa
@@ -34,6 +38,8 @@ BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset "
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
+#: Elements whose descendants may close themselves.
+FOREIGN = frozenset("svg math".split())
 #: Blocks that hold running text; their parent is the container they pass points to.
 PARAGRAPH = frozenset("p pre h1 h2 h3 h4 h5 h6 li dt dd td th blockquote figcaption caption summary".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -58,6 +64,9 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 #: The search for such an open element stops at these.
 SCOPE = frozenset("table ul ol dl select body html article section div main td th".split())
 
+RAW_END = {tag: re.compile(f"</{tag}(?=[\\s/>])", re.I) for tag in RAW}
+#: A slash that ends a tag, not an unquoted value.
+SELF_CLOSED = re.compile(r"""(?:^|[\s"'])/$""")
 TAG = re.compile(r"<(?:(?P<comment>!--)|(?P<odd>[!?])|(?P<end>/)?(?P<name>[a-zA-Z][^\s/>]*))")
 ATTRIBUTES_END = re.compile(r"""(?:[^>"']|"[^"]*"|'[^']*')*>""")
 ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'=<>`]+)))?""")
@@ -68,6 +77,7 @@ class _Tree:
 
     def __init__(self) -> None:
         self.tags, self.parents, self.pruned, self.weights, self.linked = ["#page"], [-1], [False], [0], [False]
+        self.weighted, self.block, self.foreign = [False], [0], [False]  # of the element or one around it; the nearest block
         self.blocks: list[tuple[int, str, int]] = []  # (element, text, characters in links)
         self._parts: list[str] = []
         self._links: list[str] = []
@@ -84,15 +94,15 @@ class _Tree:
             if (names and CONTENT.search(names)) or found.get("role") == "main" or found.get("itemprop") == "articleBody":
                 weight = max(weight, 25)
         if tag == "header" and not pruned:  # the page's header; an article's own header holds its title
-            at = parent
-            while at >= 0 and not self.weights[at]:
-                at = self.parents[at]
-            pruned = at < 0
+            pruned = not self.weighted[parent]
         self.tags.append(tag)
         self.parents.append(parent)
         self.pruned.append(pruned)
         self.weights.append(weight)
-        self.linked.append(self.linked[parent] or tag == "a")
+        self.linked.append(self.linked[parent] or tag == "a" and "href" in attributes.lower())
+        self.weighted.append(self.weighted[parent] or weight > 0)
+        self.block.append(len(self.tags) - 1 if tag in BLOCK else self.block[parent])
+        self.foreign.append(self.foreign[parent] or tag in FOREIGN)
         return len(self.tags) - 1
 
     def text(self, at: int, raw: str) -> None:
@@ -106,20 +116,25 @@ class _Tree:
         """End the current block, whose text stands in element ``at``."""
         if self._parts:
             if text := " ".join("".join(self._parts).split()):
-                while at > 0 and self.tags[at] not in BLOCK:
-                    at = self.parents[at]
-                self.blocks.append((at, text, len(" ".join("".join(self._links).split()))))
+                self.blocks.append((self.block[at], text, len(" ".join("".join(self._links).split()))))
             self._parts, self._links = [], []
 
 
 def parse(html: str) -> _Tree:
     """The tree of a page, however broken."""
     tree, at, stack, size = _Tree(), 0, [0], len(html)
+    depths: dict[str, list[int]] = {}  # of the open elements, by name
+
+    def deepest(names: Iterable[str]) -> int:
+        """The depth of the last open element of these names; 0 if there is none."""
+        return max((d[-1] for name in names if (d := depths.get(name))), default=0)
 
     def shut(depth: int) -> None:
         """Close all elements from ``depth`` of the stack on."""
         if any(tree.tags[e] in BLOCK for e in stack[depth:]):
             tree.cut(stack[-1])
+        for e in stack[depth:]:
+            depths[tree.tags[e]].pop()
         del stack[depth:]
 
     while at < size:
@@ -147,34 +162,32 @@ def parse(html: str) -> _Tree:
         else:
             attributes, at = html[m.end() : rest.end() - 1], rest.end()
         if m["end"]:
-            depth = next((k for k in range(len(stack) - 1, 0, -1) if tree.tags[stack[k]] == tag), 0)
-            if depth and not (tag not in BLOCK and any(tree.tags[e] in BLOCK for e in stack[depth:])):
-                shut(depth)  # an inline end tag does not close blocks
+            depth = deepest((tag,))
+            # An inline end tag does not close blocks; elements are numbered as they open.
+            if depth and (tag in BLOCK or tree.block[stack[-1]] < stack[depth]):
+                shut(depth)
             elif tag == "br":
                 tree.text(stack[-1], " ")
             continue
         if tag in BLOCK:
             if tag not in ("html", "head"):
-                for k in range(len(stack) - 1, 0, -1):
-                    name = tree.tags[stack[k]]
-                    if name == "p" or name in CLOSES.get(tag, ()) or (tag in HEADINGS and name in HEADINGS):
-                        shut(k)
-                        break
-                    if name in SCOPE and not (tag in ("td", "th") and name in ("td", "th")):
-                        break
-            if tag == "body" and any(tree.tags[e] == "head" for e in stack):
-                shut(next(k for k, e in enumerate(stack) if tree.tags[e] == "head"))
+                ends = deepest(("p", *CLOSES.get(tag, ()), *(HEADINGS if tag in HEADINGS else ())))
+                if ends and ends >= deepest(SCOPE):
+                    shut(ends)
+            if tag == "body" and depths.get("head"):
+                shut(depths["head"][0])
             tree.cut(stack[-1])
         elif tag == "br":
             tree.text(stack[-1], " ")
-        if tag in VOID or attributes.endswith("/"):
+        if tag in VOID or (tag in FOREIGN or tree.foreign[stack[-1]]) and SELF_CLOSED.search(attributes):
             continue
         element = tree.open(tag, attributes, stack[-1])
         if tag in RAW:
-            end = re.compile(f"</{re.escape(tag)}(?=[\\s/>])", re.I).search(html, at)
+            end = RAW_END[tag].search(html, at)
             if end is None:
                 break
             at = end.start()
+        depths.setdefault(tag, []).append(len(stack))
         stack.append(element)
     tree.cut(stack[-1])
     return tree
@@ -203,12 +216,20 @@ def main_text(html: str | None) -> str:
     density = [links[e] / length[e] if length[e] else 1.0 for e in range(n)]
     score = [(points[e] + tree.weights[e]) * (1 - density[e]) if points[e] else -1.0 for e in range(n)]
     best = max(range(n), key=lambda e: (score[e], -e))
+    around = [best]
+    while around[-1] > 0:
+        around.append(tree.parents[around[-1]])
+    for whole in ("article", "main"):
+        if (outer := next((e for e in around if tree.tags[e] == whole), None)) is not None:
+            best = outer
+            break
     chosen = {best}
     enough = max(10.0, 0.2 * score[best])
     prose = {tree.parents[e] if tree.tags[e] in PARAGRAPH else e for e, _, _ in tree.blocks}
     for e in range(1, n):
         if e != best and tree.parents[e] == tree.parents[best] and length[e]:
-            if score[e] >= enough or tree.tags[e] in HEADINGS and density[e] < 0.5:
+            bonus = tree.weights[e] * (1 - density[e]) if tree.tags[e] == tree.tags[best] == "article" else 0  # another article must earn its place
+            if score[e] - bonus >= enough or tree.tags[e] in HEADINGS and density[e] < 0.5:
                 chosen.add(e)
             elif tree.tags[e] == "p" and (density[e] < 0.25 and length[e] > 80 or density[e] == 0 and best in prose):
                 chosen.add(e)

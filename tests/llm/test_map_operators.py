@@ -5,6 +5,7 @@ import bz2
 import gzip
 import lzma
 import re
+import time
 import urllib.parse
 import zlib
 
@@ -63,6 +64,33 @@ def test_html_deep_and_long_pages():
     assert html.main_text(f"<article><p>{long}</p></article>") == long
 
 
+def test_html_keeps_the_whole_article():
+    """Short sections, quotes and lists beside a long one; the side bar within stays out."""
+    long = "<p>" + "long, text " * 80 + "</p>"
+    want = ("long, text " * 80).strip()
+    page = f"<main><article><h1>T</h1><section>{long}</section><section><h2>S</h2><p>s</p></section><aside>no</aside></article><article><p>other</p></article></main>"
+    assert html.main_text(page) == f"T\n{want}\nS\ns"
+    assert html.main_text(f"<body><main><div>{long}</div><blockquote>q</blockquote><ul><li>u</ul></main><div>x</div>") == f"{want}\nq\nu"
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ('<script async src="x.js"/>var a=1;</script><p>text</p>', "text"), ('<article><p><a name="x"/>text, more</article>', "text, more"), ("<article><p>a<a href=/x/>link</a> b</article>", "alink b"),
+        ('<article><svg><path d="M0"/><text>no</text></svg><p>a</article>', "a"), ("<article><svg/><p>a</article>", "a"), ("<article><div/><p>a</article>", "a"),
+    ],
+)
+def test_html_slashes(page, text):
+    assert html.main_text(page) == text
+
+
+@pytest.mark.parametrize("page", ["<b>" * 16000 + "</i>" * 16000, "<a><div>" * 8000 + "</a>" * 8000, "<b>" * 16000 + "<h1></h1>" * 16000, "<b>" * 16000 + "x<hr>" * 16000, "<header>" * 16000])
+def test_html_hostile_pages_take_linear_time(page):
+    start = time.monotonic()
+    html.main_text(page)
+    assert time.monotonic() - start < 3
+
+
 def test_html_frame(spark):
     pages = texts(spark, [(1, "u", PAGE, 7), (2, None, None, 8), (2, None, None, 8)], "page_id bigint, url string, html string, n_chars int")
     rows = html.extract(pages).collect()
