@@ -5,6 +5,8 @@ from __future__ import annotations
 import base64
 from functools import lru_cache
 
+import numpy as np
+
 from .common import vocabulary_path
 
 #: Fixed value: the published pre-token pattern of the 50k byte-level vocabulary.
@@ -42,3 +44,10 @@ def piece_chars(folder: str | None = None) -> frozenset[str]:
     """Characters that the piece vocabulary holds; any other falls back to its bytes."""
     model = piece_bpe(folder)
     return frozenset(p for i in range(model.get_piece_size()) if len(p := model.id_to_piece(i)) == 1 and not model.is_byte(i)) | {" "}
+
+
+@lru_cache(maxsize=2)
+def piece_bytes(folder: str | None = None) -> np.ndarray:
+    """For each id of the piece vocabulary, whether it stands for one byte."""
+    model = piece_bpe(folder)
+    return np.array([model.is_byte(i) for i in range(model.get_piece_size())], bool)
