@@ -217,12 +217,15 @@ class _Importer:
     # Affix file.
 
     def aff(self, text: str) -> None:
-        lines = [(n, fields) for n, line in enumerate(text.split("\n"), 1) if self._fits(n, line) and (fields := self._fields(line))]
+        # Blank lines and comments stay, without fields: in some blocks they use up a row.
+        lines = [(n, self._fields(line)) for n, line in enumerate(text.removesuffix("\n").split("\n"), 1) if self._fits(n, line)]
         at = 0
         while at < len(lines):
             number, fields = lines[at]
-            name, rest = fields[0], fields[1:]
             at += 1
+            if not fields:
+                continue
+            name, rest = fields[0], fields[1:]
             handler: Callable | None = getattr(self, f"_on_{name.lower()}", None) if name.isupper() else None
             if name in ("AF", "AM", "ICONV", "OCONV", "REP", "MAP", "BREAK", "COMPOUNDRULE", "CHECKCOMPOUNDPATTERN"):
                 at = self._block(name, number, rest, lines, at)
@@ -347,36 +350,56 @@ class _Importer:
             self.out.keyboard = rest[0]
 
     def _block(self, name: str, number: int, rest: list[str], lines: list, at: int) -> int:
-        """A counted block: its header, then as many rows of the same name."""
+        """A counted block: its header, then as many rows of the same name.
+
+        Aliases and conversions pass over blank lines and comments; in the other
+        blocks every line is a row. A row that is not well formed is reported and used up.
+        """
         severity = "warning" if name in ("AM", "REP", "MAP") else "error"
+        least = 1 if name in ("COMPOUNDRULE", "CHECKCOMPOUNDPATTERN") else 0
         most = {"AF": model.MAX_ALIASES, "AM": model.MAX_ALIASES, "BREAK": model.MAX_BREAKS, "COMPOUNDRULE": model.MAX_COMPOUND_RULES, "CHECKCOMPOUNDPATTERN": model.MAX_COMPOUND_PATTERNS}.get(name, model.MAX_CONVERSIONS)
-        if len(rest) != 1 or not rest[0].isdigit() or int(rest[0]) > most:
-            self.say(number, name, f"expected a count up to {most}", severity)
+        if len(rest) != 1 or not (rest[0].isascii() and rest[0].isdigit()) or not least <= int(rest[0]) <= most:
+            self.say(number, name, f"expected a count from {least} to {most}", severity)
+            return at
+        if name == "BREAK":  # the first block replaces the defaults, further ones add to it
+            if name not in self.once:
+                self.out.breaks = []
+        elif name != "COMPOUNDRULE" and name in self.once:
+            self.say(number, name, "declared twice", severity)
             return at
-        if name == "BREAK":
-            self.out.breaks = []
+        self.once.add(name)
         handler = getattr(self, f"_row_{name.lower()}")
         for _ in range(int(rest[0])):
-            if at >= len(lines) or lines[at][1][0] != name:
+            while at < len(lines) and not lines[at][1] and name in ("AF", "AM", "ICONV", "OCONV"):
+                at += 1
+            if at >= len(lines):
                 self.say(number, name, "the block is shorter than its count", severity)
                 return at
             row_number, fields = lines[at]
             at += 1
-            if (problem := handler(fields[1:], fields)) is not None:
+            if fields[:1] == [name]:
+                problem = handler(fields[1:], fields)
+            else:
+                problem = "not a row of this block"
+                if name in ("AF", "AM"):  # the numbers of later aliases stay
+                    (self.aliases if name == "AF" else self.morphologies).append(None)
+            if problem is not None:
                 self.say(row_number, name, problem, severity)
         return at
 
     def _row_af(self, rest: list[str], _: list[str]) -> str | None:
-        got = decode_flags(rest[0], self.out.flag_mode) if len(rest) >= 1 else None
-        self.aliases.append(tuple(sorted(set(got), key=flag_order)) if got else None)
-        return None if got else "not a flag alias"
+        got = [] if not rest else decode_flags(rest[0], self.out.flag_mode) if len(rest) == 1 else None
+        if got is not None and len(got) > model.MAX_FLAGS:
+            got = None
+        self.aliases.append(None if got is None else tuple(sorted(set(got), key=flag_order)))
+        return "not a flag alias" if got is None else None
 
     def _row_am(self, rest: list[str], _: list[str]) -> str | None:
         self.morphologies.append(tuple(rest) if rest else None)
         return None if rest else "empty morphology alias"
 
     def _conversion(self, rest: list[str], into: list) -> str | None:
-        if len(rest) < 2:
+        if len(rest) != 2:
             return "expected a pattern and its replacement"
         source, start, end = rest[0], rest[0].startswith("_"), rest[0][1 if rest[0].startswith("_") else 0 :].endswith("_")
         source = source[1:] if start else source
@@ -453,6 +476,8 @@ class _Importer:
             self.say(number, name, "over 100,000 rules")
             return at
         for _ in range(int(rest[2])):
+            while at < len(lines) and not lines[at][1]:
+                at += 1
             if at >= len(lines) or lines[at][1][0] != name:
                 self.say(number, name, "fewer rules than announced")
                 return at

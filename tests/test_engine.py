@@ -181,6 +181,25 @@ def test_import_diagnostics():
         import_text("NOPE x", "1\na")
 
 
+@pytest.mark.parametrize(
+    ("aff", "said"),
+    [
+        ("REP 2\n# c\nREP a b\nREP c d", [(2, "REP", "warning"), (4, "REP", "warning")]), ("MAP 2\n\nMAP ab\n", [(2, "MAP", "warning")]), ("BREAK 2\n# c\nBREAK -", [(2, "BREAK", "error")]),
+        ("COMPOUNDRULE 2\n#\nCOMPOUNDRULE AB", [(2, "COMPOUNDRULE", "error")]), ("COMPOUNDRULE 0", [(1, "COMPOUNDRULE", "error")]), ("CHECKCOMPOUNDPATTERN 2\n\nCHECKCOMPOUNDPATTERN a b", [(2, "CHECKCOMPOUNDPATTERN", "error")]),
+        ("ICONV 1\n# c\n\nICONV a b", []), ("AF 2\nAF AB\n# c\nAF", []), ("ICONV 1\nICONV a b\nICONV 0", [(3, "ICONV", "error")]), ("OCONV 0\nOCONV 0", [(2, "OCONV", "error")]), ("AF 0\nAF 0", [(2, "AF", "error")]),
+        ("AM 0\nAM 0", [(2, "AM", "warning")]), ("REP 0\nREP 0", [(2, "REP", "warning")]), ("MAP 0\nMAP 0", [(2, "MAP", "warning")]), ("REP 2\nREP a b", [(1, "REP", "warning")]),
+        ("CHECKCOMPOUNDPATTERN 1\nCHECKCOMPOUNDPATTERN a b\nCHECKCOMPOUNDPATTERN 1", [(3, "CHECKCOMPOUNDPATTERN", "error")]), ("BREAK 1\nBREAK -\nBREAK 1\nBREAK x", []), ("REP 1\nSFX A Y 0", [(2, "REP", "warning")]),
+    ],
+)
+def test_counted_blocks(aff, said):
+    out = import_text(aff, "1\nok", strict=False)
+    assert [(d.line, d.directive, d.severity) for d in out.diagnostics] == said
+    if aff.startswith("BREAK 1"):
+        assert [b[0] for b in out.breaks] == ["-", "x"]
+    if aff.startswith("REP 2\n#"):
+        assert [r[:2] for r in out.replacements] == [("a", "b")]
+
+
 def test_import_encodings():
     assert import_bytes("SET ISO8859-2\n".encode(), "1\nžába".encode("iso-8859-2")).lexemes[0].stem == "žába"
     assert import_bytes(b"SET UTF-8\n", "2\nok\nž\n".encode() + "č".encode("iso-8859-2"), encodings=("utf-8", "utf-8+iso-8859-2")).lexemes[-1].stem == "ž"
