@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.functions import udf, udtf
 
@@ -11,22 +12,21 @@ from .distance import osa
 from .unicode import FORMS
 
 
+#: The words of the native plan: a letter, then letters and combining marks; an apostrophe only before a letter.
+_WORD = regex.compile(r"\p{Alphabetic}(?:[\p{Alphabetic}\P{ccc=0}]|['’](?=\p{Alphabetic}))*")
+
+
 @udtf(returnType="word string, byte_start bigint, byte_end bigint")
 class Tokens:
-    """The prose words of a text with their byte ranges; for texts that hold all sentinels of the native plan, and for SQL."""
+    """The prose words of a text with their byte ranges, for SQL."""
 
     def eval(self, text: str):
-        at, n = 0, len(text or "")
-        while at < n:
-            if not text[at].isalpha():
-                at += 1
-                continue
-            end = at + 1
-            while end < n and (text[end].isalpha() or unicodedata.combining(text[end]) or text[end] in "'’" and end + 1 < n and text[end + 1].isalpha()):
-                end += 1
-            start = len(text[:at].encode())
-            yield text[at:end], start, start + len(text[at:end].encode())
-            at = end
+        at = size = 0
+        for m in _WORD.finditer(text or ""):
+            size += len(text[at : m.start()].encode())
+            end = size + len(m[0].encode())
+            yield m[0], size, end
+            at, size = m.end(), end
 
 
 def register(spark: SparkSession, dictionary: DataFrame | None = None) -> None:

@@ -37,9 +37,9 @@ def located(docs: DataFrame, pattern: str, text: str = "text", by: tuple[str, ..
     ``base`` names a column with the byte at which the row's text starts. The
     running sum is taken per row of ``docs``, whose ``by`` columns must be a key.
     """
-    mark = F.lit(SENTINELS[0])
-    for sentinel in SENTINELS[1:]:
-        mark = F.when(F.contains(F.col(text), mark), F.lit(sentinel)).otherwise(mark)
+    mark = F.concat(F.lit(SENTINELS[0]), F.md5(F.col(text)), F.lit(SENTINELS[0]))  # for a text that holds them all
+    for sentinel in reversed(SENTINELS):
+        mark = F.when(~F.contains(F.col(text), F.lit(sentinel)), F.lit(sentinel)).otherwise(mark)
     kept = docs.select(*by, *([F.col(base).alias("_base")] if base else []), F.col(text).alias("_text"), mark.alias("_mark"))
     wrapped = F.regexp_replace("_text", F.lit(f"({pattern})"), F.concat("_mark", F.lit("$1"), "_mark"))
     pieces = kept.select(*by, *(["_base"] if base else []), F.posexplode(F.split(wrapped, F.col("_mark"))).alias("_pos", "word"))

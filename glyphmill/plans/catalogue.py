@@ -334,7 +334,8 @@ def q_affix_reverse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL_AFFIX_REVERSE = f"""
 WITH {SQL_H}, e AS (SELECT * FROM (VALUES ('s'), ('ed'), ('ing'), ('en'), ('re')) AS e(add))
-SELECT a.word, b.word AS stem, e.add FROM h a JOIN e ON ends_with(a.word, e.add) JOIN h b ON b.word || e.add = a.word
+SELECT a.word, b.word AS stem, e.add FROM (SELECT word, substr(word, length(word) - n + 1) AS add, substr(word, 1, length(word) - n) AS stem FROM h, (VALUES (1), (2), (3)) AS v(n) WHERE length(word) > n) a
+JOIN e ON e.add = a.add JOIN h b ON b.word = a.stem
 """
 
 CHAIN = "SFX A N 1\nSFX A 0 x/B .\nSFX B N 1\nSFX B 0 y/C .\nSFX C N 1\nSFX C 0 z/A .\nPFX P Y 1\nPFX P 0 un/Q .\nPFX Q Y 1\nPFX Q 0 re .\n"
@@ -466,7 +467,10 @@ def q_suggest_d1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL_ASKED = f"{SQL_H}, k AS (SELECT word, frequency FROM h WHERE regexp_matches(word, '^[a-z]+$')), q AS (SELECT DISTINCT word AS query FROM (SELECT {sql_words('text')} AS word FROM benchmark) WHERE regexp_matches(word, '^[a-z]+$') AND word NOT IN (SELECT word FROM k))"
-SQL_SUGGEST_D1 = f"WITH {SQL_ASKED} SELECT query, word, 1 AS distance FROM q JOIN k ON abs(length(query) - length(word)) <= 1 AND damerau_levenshtein(query, word) <= 1"
+#: Words one edit apart share one of their single deletions, or one is a deletion of the other.
+SQL_CUT = "SELECT DISTINCT {0}, unnest(list_append(list_transform(generate_series(1, length({0})), lambda i: substr({0}, 1, i - 1) || substr({0}, i + 1)), {0})) AS cut FROM {1}"
+SQL_NEAR = f"{SQL_ASKED}, near AS (SELECT DISTINCT query, word FROM ({SQL_CUT.format('query', 'q')}) JOIN ({SQL_CUT.format('word', 'k')}) USING (cut) WHERE damerau_levenshtein(query, word) <= 1)"
+SQL_SUGGEST_D1 = f"WITH {SQL_NEAR} SELECT query, word, 1 AS distance FROM near"
 
 
 def q_suggest_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -477,7 +481,7 @@ def q_suggest_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL_SUGGEST_FREQUENCY = f"""
-WITH {SQL_ASKED}, s AS (SELECT query, word, frequency, row_number() OVER (PARTITION BY query ORDER BY frequency DESC, word) AS rank FROM q JOIN k ON abs(length(query) - length(word)) <= 1 AND damerau_levenshtein(query, word) <= 1)
+WITH {SQL_NEAR}, s AS (SELECT query, word, frequency, row_number() OVER (PARTITION BY query ORDER BY frequency DESC, word) AS rank FROM near JOIN k USING (word))
 SELECT query, rank, word, frequency FROM s WHERE rank <= 3
 """
 

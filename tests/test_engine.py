@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from glyphmill import model
 from glyphmill.functions.classify import classify, located_segments, segments
 from glyphmill.functions.distance import deletions, osa, osa_distance
-from glyphmill.functions.text import lines, raw_tokens, tokenize
+from glyphmill.functions.register import register
+from glyphmill.functions.text import SENTINELS, lines, raw_tokens, tokenize
 from glyphmill.model import Policy, SuggestOptions
 from glyphmill.operators.policy import analyze
 from glyphmill.operators.suggest import suggest
@@ -55,6 +56,22 @@ def test_tokens_and_ranges(spark):
     assert [(r["word"], r["byte_start"]) for r in marked] == [("a", 0), ("b", 2), ("c", 4), ("d", 6)]
 
 
+def test_tokens_of_a_text_with_all_sentinels(spark):
+    text = "a".join(SENTINELS) + " b c"
+    at = len(SENTINELS[0].encode())
+    rows = tokenize(docs(spark, "x" + text)).orderBy("byte_start").collect()
+    assert [r["word"] for r in rows] == ["x", *"a" * (len(SENTINELS) - 1), "b", "c"] and rows[1]["byte_start"] == 1 + at
+
+
+def test_sql_tokens_equal_the_native_plan(spark):
+    register(spark)
+    texts = ["Café don't l’esprit x' ''y", "हिन्दी की किताब", "Ⅷ ⅷ a1b", "e\u0301a \u0301b", "", "漢字 かな 𝔘n"]
+    want = [(r["word"], r["byte_start"], r["byte_end"]) for r in tokenize(docs(spark, *texts)).orderBy("doc_id", "byte_start").collect()]
+    docs(spark, *texts).createOrReplaceTempView("token_texts")
+    got = spark.sql("SELECT doc_id, t.* FROM token_texts, LATERAL lex_tokens(text) t ORDER BY doc_id, byte_start").collect()
+    assert [(r["word"], r["byte_start"], r["byte_end"]) for r in got] == want
+
+
 def test_lines_and_raw_tokens(spark):
     rows = lines(docs(spark, "a\r\nbé\n\nc", "", "x\n")).orderBy("doc_id", "line").collect()
     assert [(r["doc_id"], r["line"], r["text"], r["byte_start"], r["byte_end"]) for r in rows] == [
