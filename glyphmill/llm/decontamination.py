@@ -15,7 +15,7 @@ runs over whole Arrow batches.
 
 A retrieved item is confirmed when at least ``similarity`` of its five-word
 shingles stand in the passage, and as large a part of the words of its question
-(all but the last line or sentence). The answer's share is reported beside them.
+(all but the last line or sentence) and of its answer, if it has one.
 
 The index is broadcast in shards of at most ``SHARD_BYTES`` of item text, chosen
 by the item's hash; a larger benchmark takes further passes over the documents.
@@ -35,6 +35,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import release
 from .wordseq import NON_WORD, Words, text_chunks
@@ -44,6 +45,8 @@ SIMILARITY = 0.8
 K1, B = 1.2, 0.75
 #: Postings in a block.
 BLOCK = 4
+#: Entries of the index that the test before the walk looks at together.
+RUNS_AT_ONCE = 1 << 20
 #: Bytes of item text that one broadcast index may hold.
 SHARD_BYTES = 16 << 20
 
@@ -109,10 +112,14 @@ class Index:
         self.block_max = [[float(w[c : c + BLOCK].max()) for c in range(0, len(w), BLOCK)] for w in self.impacts]
         self.block_end = [[int(i[min(c + BLOCK, len(i)) - 1]) for c in range(0, len(i), BLOCK)] for i in self.items]
         self.bound = np.array([max(b) for b in self.block_max])
-        #: Greatest impact of each term on each run of ``BLOCK`` items.
-        self.ceilings = np.zeros((len(self.terms), max(1, -(-n // BLOCK))), np.float32)
-        for t, (own, weights) in enumerate(zip(self.items, self.impacts, strict=True)):
-            np.maximum.at(self.ceilings[t], own // BLOCK, (weights * (1 + 1e-6)).astype(np.float32))
+        #: Greatest impact of each term on the runs of ``BLOCK`` items that it occurs in, one term after another.
+        runs, ceilings = [np.zeros(0, np.int64)], [np.zeros(0, np.float32)]
+        for own, weights in zip(self.items, self.impacts, strict=True):
+            first = np.flatnonzero(np.diff(own // BLOCK, prepend=-1))
+            runs.append(own[first] // BLOCK)
+            ceilings.append((np.maximum.reduceat(weights, first) * (1 + 1e-6)).astype(np.float32))
+        self.runs, self.ceilings = np.concatenate(runs), np.concatenate(ceilings)
+        self.run_start = np.cumsum([len(r) for r in runs])
 
     def above(self, terms: list[int]) -> list[int]:
         """Items whose normalised score by these terms reaches one: block-max WAND."""
@@ -183,17 +190,32 @@ class Index:
         likely = np.add.reduceat(self.bound[term], cuts) >= 1 - 1e-6
         ends = np.concatenate([cuts[1:], [len(pairs)]])
         names = passage[cuts]
-        sizes = (ends - cuts)[likely]
-        picked = np.repeat(cuts[likely], sizes) + np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        if not len(picked):
-            return
-        edges = np.cumsum(sizes) - sizes
-        best = np.zeros(len(sizes), np.float32)
-        for block in range(self.ceilings.shape[1]):
-            best = np.maximum(best, np.add.reduceat(self.ceilings[term[picked], block], edges))
-        for k in np.flatnonzero(best >= 1 - 1e-4).tolist():
-            which = np.flatnonzero(likely)[k]
-            yield int(names[which]), term[cuts[which] : ends[which]].tolist()
+        chosen = np.flatnonzero(likely)
+        # What the runs of items of a passage's terms take, in slices of bounded size; a passage over it alone goes to the walk.
+        weight = np.add.reduceat(self.run_start[term + 1] - self.run_start[term], cuts)[chosen]
+        slices = np.cumsum(weight) // RUNS_AT_ONCE
+        for group in np.split(chosen, np.flatnonzero(np.diff(slices)) + 1) if len(chosen) else []:
+            for k in group[self._reach(term, cuts, ends, group)].tolist():
+                yield int(names[k]), term[cuts[k] : ends[k]].tolist()
+
+    def _reach(self, term: np.ndarray, cuts: np.ndarray, ends: np.ndarray, group: np.ndarray) -> np.ndarray:
+        """Which passages of ``group`` have bounds that add up to one on some run of items."""
+
+        def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+            return np.repeat(starts, sizes) + np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+        sizes = ends[group] - cuts[group]
+        own = term[spread(cuts[group], sizes)]
+        lengths = self.run_start[own + 1] - self.run_start[own]
+        if int(lengths.sum()) > 2 * RUNS_AT_ONCE:
+            return np.ones(len(group), bool)
+        at = spread(self.run_start[own], lengths)
+        blocks = int(self.runs.max()) + 1
+        keys, where = np.unique(np.repeat(np.repeat(np.arange(len(group)), sizes), lengths) * blocks + self.runs[at], return_inverse=True)
+        sums = np.bincount(where, self.ceilings[at], len(keys))
+        out = np.zeros(len(group), bool)
+        out[keys[sums >= 1 - 1e-4] // blocks] = True
+        return out
 
     def matches(self, texts: pa.Array) -> Iterator[tuple[int, list[dict]]]:
         """(row, matches) of the rows that share items."""
@@ -220,6 +242,8 @@ class Index:
                 if question < self.similarity:
                     continue
                 answer = float(np.isin(self.answers[k], own).mean()) if len(self.answers[k]) else 1.0
+                if answer < self.similarity:
+                    continue
                 d = int(doc[p])
                 best = hits.setdefault(d, {}).get(k)
                 if best is None or best["overlap"] < share:
@@ -228,25 +252,29 @@ class Index:
             yield d, [own[k] for k in sorted(own)]
 
 
-MATCH = "struct<item_id:bigint,overlap:double,question_overlap:double,answer_overlap:double,start_word:bigint>"
+MATCH = "struct<item_id:{},overlap:double,question_overlap:double,answer_overlap:double,start_word:bigint>"
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", into: str = "leaks", similarity: float = SIMILARITY, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """Add ``into``: the array of confirmed items of each row of ``docs``; a map without any exchange."""
+    """Add ``into``: the array of confirmed items of each row of ``docs``; a map without any exchange.
+
+    ``item_id`` keeps its type, a number or a string.
+    """
     spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("text")).where("text is not null")
+    items = benchmark.select("item_id", F.col("text").alias("text")).where("text is not null")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     shards = max(1, -(-int(size) // (shard_bytes // 2)))  # half full on average, so that uneven hashing stays in bounds
-    kind = pa.list_(pa.struct([("item_id", pa.int64()), ("overlap", pa.float64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64()), ("start_word", pa.int64())]))
+    name = benchmark.schema["item_id"].dataType
+    kind = pa.list_(pa.struct([("item_id", to_arrow_type(name)), ("overlap", pa.float64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64()), ("start_word", pa.int64())]))
     columns = []
     for shard in range(shards):
         own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == shard).orderBy("item_id", "text").collect()
         index = spark.sparkContext.broadcast(Index([tuple(r) for r in own], similarity))
-        columns.append(_lookup(index, kind)(F.col(text)))
+        columns.append(_lookup(index, kind, MATCH.format(name.simpleString()))(F.col(text)))
     return docs.withColumn(into, columns[0] if shards == 1 else F.concat(*columns))
 
 
-def _lookup(index, kind: pa.DataType):
+def _lookup(index, kind: pa.DataType, match: str):
     def found(texts: pa.Array) -> pa.Array:
         release()
         rows: list[list[dict]] = [[] for _ in range(len(texts))]
@@ -255,4 +283,4 @@ def _lookup(index, kind: pa.DataType):
                 rows[a + row] = matches
         return pa.array(rows, kind)
 
-    return F.arrow_udf(found, f"array<{MATCH}>")
+    return F.arrow_udf(found, f"array<{match}>")

@@ -4,11 +4,13 @@ import base64
 import bz2
 import gzip
 import lzma
+import random
 import re
 import time
 import urllib.parse
 import zlib
 
+import pyarrow as pa
 import pytest
 import zstandard
 from pyspark.sql import functions as F
@@ -286,6 +288,24 @@ def test_leaks_found_and_clean_left(spark):
     assert {(r[0], r[1]) for r in found} == {(k, k) for k in range(0, 30, 3)} | {(103, 12)}
 
 
+def test_leaks_need_question_and_answer_and_keep_string_ids(spark):
+    question, answer = " ".join(f"q{k}" for k in range(60)), "a1 a2 a3 a4 a5"
+    benchmark = spark.createDataFrame([("item-x", f"{question}\n{answer}"), ("item-y", None), (None, "")], "item_id string, text string")
+    docs = texts(spark, [(1, f"before {question} {answer} after"), (2, f"{question} b1 b2 b3 b4 b5"), (3, None), (4, ""), (5, f"{question} {answer} " + "x " * 200_000)])
+    rows = decontamination.leaks(docs, benchmark).collect()
+    assert {r["doc_id"]: [m["item_id"] for m in r["leaks"]] for r in rows} == {1: ["item-x"], 2: [], 3: [], 4: [], 5: ["item-x"]}
+
+
+def test_index_grows_with_its_postings():
+    draw = random.Random(3)
+    items = [(k, " ".join(f"w{int(draw.paretovariate(0.6)) % 20000}" for _ in range(50))) for k in range(2000)]
+    index = decontamination.Index(items)
+    assert len(index.runs) == len(index.ceilings) <= sum(map(len, index.items))
+    sample = [t for _, t in items[::100]] + [" ".join(t.split()[::-1]) for _, t in items[::500]]
+    found = {(row, m["item_id"]) for row, own in index.matches(pa.array(sample)) for m in own}
+    assert {(k, 100 * k) for k in range(20)} <= found and all(row < 20 for row, _ in found)
+
+
 def test_leaks_agree_with_brute_force(spark):
     sf = "/root/testdata/sf0.01"
     docs, benchmark = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
