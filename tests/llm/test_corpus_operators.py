@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from glyphmill.llm import languagemodel, linededup, packing, sharding, simhash, substring
@@ -15,6 +16,7 @@ from glyphmill.llm.common import Scratch, small_batches
 from glyphmill.llm.components import connected_components
 from glyphmill.llm.eliasfano import EliasFano
 from glyphmill.llm.tokens import byte_bpe
+from glyphmill.llm.wordseq import Words
 
 SF = "/root/testdata/sf0.001"
 EDGES = [(1, None), (2, ""), (3, " \n\t "), (4, "one"), (4, "one"), (None, "no id"), (5, "ünï çödé\nline"), (6, "x " * 3000), (7, "x " * 3000)]
@@ -313,6 +315,19 @@ def test_substring_dedup_small_vocabulary(spark):
     assert [(r["text"], r["n_words"], r["n_removed"]) for r in found] == brute_repeats(texts, 35)
 
 
+@pytest.mark.parametrize("size", [64, 400, 1024, 4096])
+def test_words_that_cancel_in_polynomials_have_their_own_hashes(spark, size):
+    """A Thue-Morse word and its complement: equal polynomials modulo 2**64 from 1,024 letters on."""
+    bits = [k.bit_count() % 2 for k in range(size)]
+    a, b = "".join("ab"[x] for x in bits), "".join("ba"[x] for x in bits)
+    words = Words(pa.array([a, b]))
+    assert len(set(words.hashes.tolist())) == 2 and len({int(words.runs(np.array([k]), np.array([k + 1]), 1)[0]) for k in (0, 1)}) == 2
+    if size == 1024:
+        shared = " ".join(f"s{k}" for k in range(34))
+        docs = spark.createDataFrame([(1, f"{shared} {a}"), (2, f"{shared} {b}")], "doc_id bigint, text string")
+        assert [r["n_removed"] for r in substring.drop_repeats(docs).collect()] == [0, 0]
+
+
 def test_substring_edges(spark):
     docs = docs_of(spark, [(d, t, "k") for d, t in EDGES], "doc_id bigint, text string, n_words string")
     found = substring.drop_repeats(docs).collect()
