@@ -16,7 +16,7 @@ import zstandard
 from pyspark.sql import functions as F
 
 from glyphmill.llm import decontamination, html, quality, secrets
-from glyphmill.llm.tokens import byte_bpe, piece_bpe
+from glyphmill.llm.tokens import byte_bpe, piece_bpe, piece_counts
 
 
 def texts(spark, rows, schema="doc_id bigint, text string"):
@@ -156,6 +156,25 @@ def test_fallback_share_is_one_measure_for_every_text():
     assert quality.fertility(line * 20)[2] > 0.05
 
 
+def test_piece_counts_by_chunks_are_those_of_whole_texts(spark):
+    draw, model = random.Random(5), piece_bpe()
+    parts = ["the", "people", " ", "  ", "\n", "\n\n", "\t", "\u2581", "\u2581\u2581a", "\u00e9", "\u6f22\u5b57", "\U0001f9ff", "\x00", "\u00a0", "x" * 200, ".", "don't", "\r\n", "<0x0A>", "</s>"]
+    made = ["".join(draw.choices(parts, k=draw.randint(1, 30))) for _ in range(3000)]
+    noise = ["".join(map(chr, draw.choices(range(128), k=300))) for _ in range(300)]
+    pieces = [model.id_to_piece(i) for i in range(model.get_piece_size())]
+    corpus = [r[0] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect() if r[0]]
+    for text in [*made, *noise, *pieces, *corpus, " " * 5000, "a" * 5000, "ab" * 300 + " c"]:
+        ids = model.encode(text)
+        assert piece_counts().count(text) == (len(ids), sum(map(model.is_byte, ids))), repr(text)
+
+
+def test_piece_counts_of_very_long_words_take_no_square_time():
+    start = time.monotonic()
+    for text in ("a" * 500_000, "thequick" * 60_000, " " * 500_000, "\u00e9" * 300_000):
+        piece_counts().count(text)
+    assert time.monotonic() - start < 20
+
+
 def test_bands_reject_noise_and_keep_good_text(spark):
     sf = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
