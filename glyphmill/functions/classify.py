@@ -27,10 +27,14 @@ def boundary_pattern(join: bool = False) -> str:
     )
 
 
+def segment_pattern(join: bool = False) -> str:
+    """What stands between the segments of an identifier."""
+    return f"{other_character()}+|{boundary_pattern(join)}"
+
+
 def segments(token: Column, join: bool = False) -> Column:
     """The segments of an identifier: array of strings."""
-    pieces = F.split(token, f"{other_character()}+|{boundary_pattern(join)}")
-    return F.filter(pieces, lambda s: s != "")
+    return F.filter(F.split(token, segment_pattern(join)), lambda s: s != "")
 
 
 def located_segments(token: Column, join: bool = False) -> Column:

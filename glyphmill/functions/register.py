@@ -1,4 +1,4 @@
-"""Functions for SQL: ``lex_normalize``, ``lex_osa``, the table function ``lex_tokens``, and views of a dictionary."""
+"""Functions for SQL: ``lex_normalize``, ``lex_osa``, ``lex_split_identifier``, the table function ``lex_tokens``, and a dictionary's view with ``lex_contains``."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.functions import udf, udtf
 
+from .classify import segment_pattern
 from .distance import osa
 from .unicode import FORMS
 
@@ -30,7 +31,12 @@ class Tokens:
 
 
 def register(spark: SparkSession, dictionary: DataFrame | None = None) -> None:
-    """Make the functions known to SQL; with a word table also the view ``lex_words`` for semi- and anti-joins."""
+    """Make the functions known to SQL; with a word table also the view ``lex_words`` and ``lex_contains``.
+
+    ``lex_split_identifier`` and ``lex_contains`` are SQL functions: the optimizer
+    sees their bodies, and ``lex_contains`` in a filter is a semi- or anti-join
+    with the view. A null word is in no dictionary.
+    """
 
     @udf("string", useArrow=True)
     def lex_normalize(word, form):
@@ -44,5 +50,8 @@ def register(spark: SparkSession, dictionary: DataFrame | None = None) -> None:
     spark.udf.register("lex_normalize", lex_normalize)
     spark.udf.register("lex_osa", lex_osa)
     spark.udtf.register("lex_tokens", Tokens)
+    pattern = segment_pattern().replace("\\", "\\\\").replace("'", "\\'")
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION lex_split_identifier(token STRING) RETURNS ARRAY<STRING> RETURN filter(split(token, '{pattern}'), s -> s != '')")
     if dictionary is not None:
         dictionary.select("word").distinct().createOrReplaceTempView("lex_words")
+        spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION lex_contains(asked STRING) RETURNS BOOLEAN RETURN EXISTS(SELECT 1 FROM lex_words AS known WHERE known.word = asked)")

@@ -201,13 +201,14 @@ IDENTIFIERS = [("userAuthProvider2HTTPResponse",), ("OAuthAuthenticationProvider
 
 def q_split_identifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").select(F.col("event_type").alias("token")).distinct()
-    return values(spark, IDENTIFIERS, "token string").union(events).select("token", F.array_join(segments(F.col("token")), "|").alias("segments"))
+    urls = table(spark, sf_dir, "pages").select(F.col("url").alias("token")).distinct()
+    return values(spark, IDENTIFIERS, "token string").union(events).union(urls).select("token", F.array_join(segments(F.col("token")), "|").alias("segments"))
 
 
 #: Segment boundaries as marks, for a dialect without lookaround.
 SQL_MARKED = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(token, '[^\p{L}\p{M}\p{N}]+', '|', 'g'), '(\p{N})([\p{L}\p{M}])', '\1|\2', 'g'), '([\p{L}\p{M}])(\p{N})', '\1|\2', 'g'), '(\p{Ll})(\p{Lu})', '\1|\2', 'g'), '(\p{Lu})(\p{Lu}\p{Ll})', '\1|\2', 'g')"
 SQL_SPLIT = f"""
-WITH t AS (SELECT token FROM {sql_values(IDENTIFIERS)} AS v(token) UNION ALL SELECT DISTINCT event_type FROM events)
+WITH t AS (SELECT token FROM {sql_values(IDENTIFIERS)} AS v(token) UNION ALL SELECT DISTINCT event_type FROM events UNION ALL SELECT DISTINCT url FROM pages)
 SELECT token, array_to_string(list_filter(string_split({SQL_MARKED}, '|'), lambda s: s <> ''), '|') AS segments FROM t
 """
 
@@ -473,6 +474,14 @@ SQL_NEAR = f"{SQL_ASKED}, near AS (SELECT DISTINCT query, word FROM ({SQL_CUT.fo
 SQL_SUGGEST_D1 = f"WITH {SQL_NEAR} SELECT query, word, 1 AS distance FROM near"
 
 
+def q_suggest_d2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All words of the benchmark that H lacks, with all words of H up to two edits away; no SQL, whose edit distance is another one beyond one edit."""
+    known = h(spark, sf_dir).select("word")
+    asked = table(spark, sf_dir, "benchmark").select(F.explode(words(F.col("text"))).alias("word"))
+    found, _ = suggest(unrecognized(asked, known), known, SuggestOptions(max_results=1_000_000, max_distance=2, max_candidates=1 << 40, max_cells=1 << 50))
+    return found.select("query", "word", "distance")
+
+
 def q_suggest_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = _ascii(h(spark, sf_dir))
     asked = _ascii(table(spark, sf_dir, "benchmark").select(F.explode(words(F.col("text"))).alias("word")))

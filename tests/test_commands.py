@@ -1,8 +1,10 @@
 """The command line, saved dictionaries and SQL functions."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from glyphmill import __main__ as commands
+from glyphmill.functions.classify import segments
 from glyphmill.functions.register import register
 from glyphmill.sources import artifacts
 from glyphmill.sources.affixfiles import import_bytes
@@ -75,3 +77,12 @@ def test_sql_functions(spark):
     rows = spark.sql("SELECT t.* FROM lex_tokens('é don''t x1') t WHERE NOT EXISTS (SELECT 1 FROM lex_words w WHERE w.word = t.word)").collect()
     assert [(r["word"], r["byte_start"]) for r in rows] == [("é", 0), ("x", 9)]
     assert spark.sql("SELECT lex_osa('recieve', 'receive', 2), lex_normalize('e\\u0301', 'nfc')").first()[:] == (1, "é")
+    words = spark.createDataFrame([("don't",), ("x",), (None,), ("don't",)], "word string")
+    words.createOrReplaceTempView("asked_words")
+    assert [r[0] for r in spark.sql("SELECT lex_contains(word) FROM asked_words").collect()] == [True, False, False, True]
+    known = spark.sql("SELECT word FROM asked_words WHERE lex_contains(word)")
+    assert [r[0] for r in known.collect()] == ["don't"] * 2 and "LeftSemi" in known._jdf.queryExecution().toString()
+    tokens = spark.createDataFrame([(t,) for t in ("HTTPResponseCode2x", "snake_case-9", "", "it's É1", "__", None)], "token string")
+    tokens.createOrReplaceTempView("asked_tokens")
+    got = spark.sql("SELECT token, lex_split_identifier(token) AS s FROM asked_tokens").collect()
+    assert got == tokens.select("token", segments(F.col("token")).alias("s")).collect() and got[0]["s"] == ["HTTP", "Response", "Code", "2", "x"]
