@@ -10,6 +10,7 @@ import time
 import urllib.parse
 import zlib
 
+import numpy as np
 import pyarrow as pa
 import pytest
 import zstandard
@@ -184,6 +185,43 @@ def test_bands_reject_noise_and_keep_good_text(spark):
     assert kept_good >= 0.98 * good and kept_bad <= 0.3 * bad
 
 
+def test_bands_are_fitted_on_all_good_rows(spark):
+    """20,000 labelled rows, some beyond any sample's limits: every quantile as numpy has it over all of them."""
+    rng = np.random.default_rng(4)
+    n = 20_000
+    lang = rng.choice(["en", "de", None, "", "few"], n, p=[0.6, 0.3, 0.06, 0.0395, 0.0005])
+    tokens, chars, entropy = rng.integers(60, 3000, n), rng.gamma(9, 0.5, n).round(3) + rng.random(n) * (rng.random(n) < 0.5), rng.random(n) * 9
+    fallback = np.zeros(n)
+    fallback[np.flatnonzero(lang == "de")[-1]] = 0.3
+    rows = list(zip(lang.tolist(), tokens.tolist(), chars.tolist(), fallback.tolist(), entropy.tolist(), strict=True))
+    bands = quality.fit_bands(spark.createDataFrame(rows, "lang string, n_tokens bigint, chars_per_token double, fallback_share double, token_entropy double"))
+    assert set(bands) == {"", "en", "de"}
+
+    def low(values):
+        q = np.quantile(values, 0.002)
+        return q - 0.15 * (np.median(values) - q)
+
+    for key, band in bands.items():
+        own = lang == key if key else np.ones(n, bool)
+        power = np.floor(np.log2(tokens[own])).astype(int)
+        lows = [(p, low(entropy[own][power == p])) for p in sorted(set(power.tolist())) if (power == p).sum() >= quality.MIN_ROWS]
+        assert [p for p, _ in band.entropy_low] == [p for p, _ in lows] and [x for _, x in band.entropy_low] == pytest.approx([x for _, x in lows], rel=1e-12)
+        want = (np.median(chars[own]), low(chars[own]), -low(-chars[own]), max(0.02, 2 * fallback[own].max()))
+        assert (band.chars_median, band.chars_low, band.chars_high, band.fallback_high) == pytest.approx(want, rel=1e-12)
+
+
+def test_bands_use_every_labelled_row(spark):
+    """9,000 labelled rows, over the 8,192 of the former sample: a single one with byte fallback sets the limit, whichever it is."""
+    plain = "some plain words of a text that goes on and on " * 6
+    odd = plain + "\U0001f9ff" * 40
+    skipped = spark.range(9000).orderBy(F.xxhash64("id"), "id").collect()[-1][0]  # the last in the order of the hashes
+    docs = texts(spark, [(k, odd if k == skipped else plain, "en") for k in range(9000)], "doc_id bigint, text string, lang string")
+    labels = docs.selectExpr("doc_id", "1 AS quality")
+    assert quality.sample_bands(docs, labels)["en"].fallback_high > 0.1
+    rated = quality.rate(docs.where(F.col("doc_id").isin(skipped, skipped - 1) | (F.col("doc_id") % 100 == 0)), labels)
+    assert "text" not in rated.columns and rated.where(f"doc_id = {skipped}").first()["fallback_share"] > 0.05
+
+
 def test_quality_frame_edges(spark):
     docs = texts(spark, [(1, None, "en", 5), (1, None, "en", 5), (2, "", None, 6), (None, "w " * 400, "en", 7)], "doc_id bigint, text string, lang string, n_words int")
     rows = quality.judge(docs, {}).collect()
