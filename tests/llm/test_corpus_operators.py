@@ -383,6 +383,45 @@ def test_model_is_a_distribution(spark):
     assert sum(v for k, v in scored.items() if k != "w0") < first
 
 
+def test_scores_equal_a_brute_force_trigram_model(spark):
+    """Words, pairs and triples, none left out, with the same discounts: every text's score, but for the rounding of codes."""
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice("abcdefgh") + str(min(int(rng.expovariate(0.5)), 9)) for _ in range(rng.randrange(60))) for _ in range(120)]
+    model = languagemodel.train(spark.createDataFrame([(t,) for t in texts], "text string"))
+    grams = {n: collections.Counter() for n in (1, 2, 3)}
+    for t in texts:
+        own = [None, None, *tokens_of(t)]
+        for k in range(2, len(own)):
+            for n in grams:
+                grams[n][tuple(own[k + 1 - n : k + 1])] += 1
+
+    def discount(n):
+        ones, twos = (sum(c == k for c in grams[n].values()) for k in (1, 2))
+        return min(0.95, max(0.05, ones / (ones + 2 * twos))) if ones else 0.5
+
+    total, heads, types = sum(grams[1].values()), collections.defaultdict(int), collections.defaultdict(int)
+    for n in (2, 3):
+        for g, c in grams[n].items():
+            heads[g[:-1]] += c
+            types[g[:-1]] += 1
+
+    def chance(g):
+        if len(g) == 1:
+            return (grams[1][g] - discount(1)) / total if g in grams[1] else discount(1) * len(grams[1]) / total
+        lower, head = chance(g[1:]), g[:-1]
+        if not heads[head]:
+            return lower
+        d = discount(len(g))
+        return max(0.0, grams[len(g)][g] - d) / heads[head] + d * types[head] / heads[head] * lower
+
+    asked = [*texts[:40], "a0 b0 never c1", "", "a0 a0 a0 a0"]
+    found = {r["text"]: r["score"] for r in languagemodel.score(spark.createDataFrame([(t,) for t in asked], "text string"), model).collect()}
+    for t in asked:
+        own = [None, None, *tokens_of(t)]
+        want = sum(math.log10(chance(tuple(own[k - 2 : k + 1]))) for k in range(2, len(own)))
+        assert found[t] == pytest.approx(want, rel=0.02, abs=0.02)
+
+
 def test_lm_edges(spark):
     out = languagemodel.train_and_score(docs_of(spark, EDGES)).collect()
     assert len(out) == len(EDGES) and all(r["n_tokens"] >= 1 and math.isfinite(r["score"]) for r in out)
