@@ -33,7 +33,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the one with the smallest id.
 
     Five-word shingles and a similarity of 0.8, as for every near-duplicate stage
-    without a contract of its own. Null ids come last; of rows that repeat both id and
+    without a contract of its own: long fingerprints, candidates by the Gray-order
+    hierarchical index within buckets, links confirmed exactly. Null ids come last; of rows that repeat both id and
     text one stays; rows that share an id but are no near duplicates all stay.
     """
     small_batches(spark)

@@ -279,8 +279,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
 LANES, BAND_BITS, NEAR_LANES = 10, 12, 6
 #: Standard deviations over the mean that candidates may differ by.
 DEVIATIONS = 4
-#: Members of a bucket up to which all its pairs are compared at once.
-SMALL_BUCKET = 64
+#: Node pairs of long codes that are expanded at once, and the lanes that are summed first.
+LONG_FRONTIER, FIRST_LANES = 1 << 14, 3
 #: Members above which a bucket is split into blocks that meet pair by pair.
 HOT_BUCKET = 2_000
 #: Shingles of one block of a component that is confirmed in blocks.
@@ -327,49 +327,78 @@ def differing_bits(similarity: float, bits: int, deviations: float = 1) -> int:
     return int(share * bits + deviations * (share * (1 - share) * bits) ** 0.5)
 
 
-def _bucket_links(prints: np.ndarray, limit: int) -> np.ndarray:
-    """A component label for each print of one bucket; every print is compared with those not reached yet."""
-    labels = np.full(len(prints), -1, np.int64)
-    left = np.arange(len(prints))
-    while len(left):
-        seed, left = left[0], left[1:]
-        labels[seed] = seed
-        work = [seed]
-        while work and len(left):
-            at = work.pop()
-            # Hopeless ones go by their first lane, far over what a link shows there.
-            near = np.bitwise_count(prints[left, 0] ^ prints[at, 0]) <= 26
-            some = left[near]
-            close = some[np.bitwise_count(prints[some] ^ prints[at]).sum(axis=1) <= limit]
-            if len(close):
-                labels[close] = seed
-                work += close.tolist()
-                left = left[labels[left] < 0]
-    return labels
+class LongGrayIndex(GrayIndex):
+    """The index over codes of several lanes, of which each lies in a bucket: links join codes of one bucket only."""
+
+    def __init__(self, codes: np.ndarray, buckets: np.ndarray, fanout: int = FANOUT) -> None:
+        ranks, odd = [], np.zeros(len(codes), np.uint64)
+        for lane in codes.T:  # an odd number of ones before a lane turns its order round
+            ranks.append(gray_rank(lane) ^ (np.uint64(0) - odd))
+            odd = ranks[-1] & np.uint64(1)
+        self.order, self.fanout = np.lexsort((*ranks[::-1], buckets)), fanout
+        patterns = np.ascontiguousarray(codes[self.order].T)
+        low = high = buckets[self.order]
+        masks = np.broadcast_to(~np.uint64(0), patterns.shape)
+        self.codes, self.levels = patterns, [(masks, patterns, low, high)]
+        while patterns.shape[1] > 1:
+            cuts = np.arange(0, patterns.shape[1], fanout)
+            both, none = (np.bitwise_and.reduceat(x, cuts, axis=1) for x in (patterns, ~patterns))
+            masks = (both | none) & np.bitwise_and.reduceat(masks, cuts, axis=1)
+            patterns, low, high = both & masks, low[cuts], np.maximum.reduceat(high, cuts)
+            self.levels.append((masks, patterns, low, high))
+
+    def roots(self, limit: int) -> np.ndarray:
+        """For each place of the order, one place that stands for its component."""
+        roots = np.arange(self.codes.shape[1])
+        child = np.arange(self.fanout)
+        work = [(len(self.levels) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
+        while work:
+            level, a, b = work.pop()
+            most = LONG_FRONTIER if level else LONG_FRONTIER * self.fanout**2
+            if len(a) > most:
+                work += [(level, a[k : k + most], b[k : k + most]) for k in range(0, len(a), most)][::-1]
+                continue
+            a, b = self._near(level, a, b, limit)
+            if not len(a):
+                continue
+            if level == 0:
+                _join(roots, a, b)
+                continue
+            span = self.fanout**level
+            low, top = self._root_range(roots, a, span), self._root_range(roots, b, span)
+            alive = ~((low[0] == low[1]) & (top[0] == top[1]) & (low[0] == top[0]))
+            a, b = a[alive], b[alive]
+            below = self.levels[level - 1][1].shape[1]
+            left, right = np.broadcast_arrays((a[:, None] * self.fanout + child)[:, :, None], (b[:, None] * self.fanout + child)[:, None, :])
+            fits = (left <= right) & (right < below) if level > 1 else (left < right) & (right < below)
+            work.append((level - 1, left[fits], right[fits]))
+        return roots
+
+    def _near(self, level: int, a: np.ndarray, b: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+        """The node pairs that share a bucket and may hold a link: the bits that both fix differ in at most ``limit``."""
+        masks, patterns, low, high = self.levels[level]
+        meet = high[a] >= low[b]
+        a, b = a[meet], b[meet]
+        differ = np.zeros(len(a), np.int16)
+        for lane, (mask, pattern) in enumerate(zip(masks, patterns, strict=True)):
+            apart = pattern[a] ^ pattern[b]
+            if level:
+                apart &= mask[a] & mask[b]
+            differ += np.bitwise_count(apart)
+            if lane + 1 in (FIRST_LANES, len(patterns)):  # most pairs are over the limit after some lanes
+                keep = differ <= limit
+                a, b, differ = a[keep], b[keep], differ[keep]
+        return a, b
 
 
 def _partition_links(keys: np.ndarray, prints: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
     """(members, centres): rows of one partition that hang together within a bucket."""
-    order = np.argsort(keys, kind="stable")
-    keys, prints = keys[order], prints[order]
-    cuts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    sizes = np.diff(np.append(cuts, len(keys)))
-    size, place = np.repeat(sizes, sizes), np.arange(len(keys)) - np.repeat(cuts, sizes)
-    members, centres = [], []
-    small = np.flatnonzero(size <= SMALL_BUCKET)
-    for step in range(1, int(min(SMALL_BUCKET, sizes.max(initial=1)))):
-        a = small[place[small] + step < size[small]]  # the row ``step`` places on is in the same bucket
-        a = a[np.bitwise_count(prints[a, 0] ^ prints[a + step, 0]) <= 26]
-        a = a[np.bitwise_count(prints[a] ^ prints[a + step]).sum(axis=1) <= limit]
-        members.append(a + step)
-        centres.append(a)
-    for cut, n in zip(cuts[sizes > SMALL_BUCKET].tolist(), sizes[sizes > SMALL_BUCKET].tolist(), strict=True):
-        labels = _bucket_links(prints[cut : cut + n], limit)
-        away = np.flatnonzero(labels != np.arange(n))
-        members.append(cut + away)
-        centres.append(cut + labels[away])
-    none = [np.zeros(0, np.int64)]
-    return order[np.concatenate(members or none)], order[np.concatenate(centres or none)]
+    if not len(keys):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    index = LongGrayIndex(prints, keys)
+    roots = index.roots(limit)
+    away = np.flatnonzero(roots != np.arange(len(roots)))
+    return index.order[away], index.order[roots[away]]
 
 
 def _dealt(bands: DataFrame, scratch: Scratch, hot_bucket: int) -> DataFrame:
@@ -490,7 +519,8 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, key: str = "doc_id"
 
     Fingerprints of 640 bits find candidates: the 53 bands of 12 bits are the
     buckets, of which a pair at 0.8 shares one with a chance of 99.96 %, a closer
-    pair nearly always. Within a bucket candidates are prints that
+    pair nearly always. A Gray-order hierarchical index over the buckets of a task
+    finds the candidates: prints of one bucket that
     differ, in ``NEAR_LANES`` lanes, in no more bits than the threshold does,
     ``DEVIATIONS`` granted. A task emits at most one row for each print and band.
     Within the components of candidates, which hold every pair found and more, the
@@ -532,7 +562,8 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, key: str = "doc_id"
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(times), pa.array(short, pa.binary()).take(times), pa.array(keys.ravel())], ["node", "fp", "bucket"])
 
     bands = classes.select("node", "fp").mapInArrow(banded, "node bigint, fp binary, bucket bigint")
-    dealt = _dealt(scratch.keep(bands, "bands"), scratch, hot_bucket).repartition("bucket").sortWithinPartitions("bucket")
+    banded_rows = scratch.keep(bands, "bands")
+    dealt = _dealt(banded_rows, scratch, hot_bucket).repartition("bucket").sortWithinPartitions("bucket")
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
@@ -544,6 +575,7 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, key: str = "doc_id"
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
     candidates = connected_components(dealt.mapInArrow(linked, "a bigint, b bigint"), scratch)
+    scratch.drop(banded_rows)
     # Every member of a component of two or more, the root included, with its set.
     within = candidates.union(candidates.select(F.col("root").alias("node"), "root").distinct())
     sets = scratch.keep(classes.select("node", "set").join(within, "node").join(read.select("set", F.col("rid").alias("node"), "shingles", "n"), ["set", "node"]).dropDuplicates(["node"]).select("node", "root", "shingles", "n"), "sets")

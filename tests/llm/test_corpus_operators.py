@@ -273,6 +273,32 @@ def test_large_buckets_link_as_small_ones():
     assert {a // 30 == b // 30 for a, b in zip(members, centres, strict=True)} == {True} and len(set(members)) == 174
 
 
+def test_long_gray_index_finds_the_links_of_brute_force():
+    """Codes of six lanes in buckets of many sizes; some pairs differ in one lane only, by more than its usual share."""
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 2**63, (60, 6), dtype=np.uint64)
+    prints = base[rng.integers(0, 60, 900)].copy()
+    for row in prints:
+        for bit in rng.choice(384, rng.integers(0, 60), replace=False):
+            row[bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
+    buckets = np.sort(rng.choice([3, 5, 7, 8, 9], 900, p=[0.6, 0.3, 0.08, 0.01, 0.01]))[rng.permutation(900)]
+    prints[1], buckets[:2] = prints[0], 11
+    prints[1, 0] ^= np.uint64((1 << 30) - 1)  # 30 bits, all in the first lane
+    for limit in (0, 30, 50, 86):
+        apart = np.bitwise_count(prints[:, None, :] ^ prints[None, :, :]).sum(axis=2, dtype=np.int64)
+        near = (apart <= limit) & (buckets[:, None] == buckets[None, :])
+        want = np.arange(900)
+        while ((least := np.where(near, want[None, :], 900).min(axis=1)) != want).any():
+            want = least
+        got = np.arange(900)
+        members, centres = simhash._partition_links(buckets, prints, limit)
+        got[members] = centres
+        groups = lambda x: {frozenset(np.flatnonzero(x == k).tolist()) for k in np.unique(x)}
+        assert groups(got) == groups(want)
+        assert (got[0] == got[1]) == (limit >= 30)
+    assert simhash._partition_links(buckets[:0], prints[:0], 3)[0].size == 0
+
+
 def test_components_of_a_long_chain(spark):
     order = list(range(300))
     random.Random(1).shuffle(order)
