@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from glyphmill.llm import decontamination, linededup, packing, quality, simhash
-from glyphmill.llm.common import Scratch, read_table, small_batches
+from glyphmill.llm.common import Scratch, hinted, read_table, small_batches
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -36,15 +36,21 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     without a contract of its own: long fingerprints, candidates by the Gray-order
     hierarchical index within buckets, links confirmed exactly. Null ids come last; of rows that repeat both id and
     text one stays; rows that share an id but are no near duplicates all stay.
+    Only texts of rows that may go, or repeat, are shuffled.
     """
     small_batches(spark)
     groups = simhash.similar_groups(docs, 0.8, width=5)
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "rid", "sig")
-    first = groups.groupBy("root").agg(F.min(order).alias("k")).select("k.rid", "k.sig")
+    first = groups.groupBy("root").agg(F.min(order).alias("k")).select("k.rid", "k.sig", F.lit(True).alias("_first"))
+    times = groups.groupBy("rid", "sig").agg(F.count(F.lit(1)).alias("_times")).join(first, ["rid", "sig"], "left")
+    doubted = times.where("_times > 1 OR _first IS NULL").select("rid", "sig", F.col("_first").isNotNull().alias("_first"))
+    doubted = Scratch(spark, "doubted").keep(doubted, "doubted")
     whole = F.coalesce("text", F.lit(""))
-    kept = docs.withColumn("rid", F.xxhash64("doc_id", whole)).withColumn("sig", F.xxhash64(whole)).join(first, ["rid", "sig"])
+    keyed = hinted(docs.withColumn("rid", F.xxhash64("doc_id", whole)).withColumn("sig", F.xxhash64(whole)), doubted, ["rid", "sig"])
+    kept = keyed.where("_maybe").join(doubted, ["rid", "sig"], "left").where(F.coalesce("_first", F.lit(True)))
     same = Window.partitionBy("rid", "sig").orderBy("lang", "source", "n_chars")  # repeats of one row; the join has dealt them so
-    return kept.withColumn("_n", F.row_number().over(same)).where("_n = 1").select(*COLUMNS)
+    once = kept.withColumn("_n", F.row_number().over(same)).where("_n = 1").select(*COLUMNS)
+    return keyed.where("NOT _maybe").select(*COLUMNS).union(once)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, Scratch, release, shielded
+from .common import ASCII_SPACE, Scratch, hinted, release, shielded
 from .tokens import byte_bpe, piece_chars, piece_counts
 
 #: Fixed value: the symbols that are counted.
@@ -203,14 +203,16 @@ def labelled_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def sample_bands(docs: DataFrame, labels: DataFrame, folder: str | None = None) -> dict[str, Band]:
-    """Bands of all labelled good rows of ``docs``, which are measured for it and not kept."""
+    """Bands of all labelled good rows of ``docs``, which are measured for it and not kept.
+
+    Texts are neither shuffled nor written: those whose id may be labelled good are
+    measured where they are read, the exact join meets measures only.
+    """
     scratch = Scratch(docs.sparkSession, "quality")
-    # Written first: else the optimizer measures every document before the join.
-    own = scratch.keep(labelled_good(docs.select("doc_id", "text", "lang"), labels), "good")
-    good = scratch.keep(measure(own, folder=folder).where(f"n_words >= {MIN_WORDS}").drop("text"), "measures")
-    scratch.drop(own)
-    bands = fit_bands(good)
-    scratch.drop(good)
+    asked = hinted(docs.select("doc_id", "text", "lang"), labels.where("quality = 1").select("doc_id"), ["doc_id"]).where("_maybe").drop("_maybe")
+    measured = scratch.keep(measure(asked, folder=folder).where(f"n_words >= {MIN_WORDS}").drop("text"), "measures")
+    bands = fit_bands(scratch.keep(labelled_good(measured, labels), "good"))
+    scratch.clear()
     return bands
 
 

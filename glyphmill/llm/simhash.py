@@ -37,7 +37,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_TABLE, Scratch, release
+from .common import LOWER_TABLE, Scratch, hinted, release
 from .components import connected_components
 from .wordseq import Words, mix, text_chunks
 
@@ -527,7 +527,8 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, key: str = "doc_id"
     shingle sets themselves are compared, so no link is below the similarity.
     A bucket of more than ``hot_bucket`` members, or a component of more than
     ``block_shingles`` shingles, is split into blocks, each compared with each;
-    texts of equal shingle sets are one member.
+    texts of equal shingle sets are one member. Of the shingles only those of
+    candidates are shuffled, and they go once the links are known.
     """
     scratch = Scratch(docs.sparkSession, "similar")
     whole = F.coalesce(text, F.lit(""))
@@ -547,7 +548,7 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, key: str = "doc_id"
 
     hashed = docs.select(F.col(key).alias("_key"), F.xxhash64(key, whole).alias("rid"), F.xxhash64(whole).alias("sig"), prints(F.col(text)).alias("_p"))
     read = scratch.keep(hashed.select("_key", "rid", "sig", "_p.*").withColumn("set", F.xxhash64("shingles", "fp")), "rows")
-    rows = read.select("_key", "rid", "sig", "set")
+    rows = scratch.keep(read.select("_key", "rid", "sig", "set"), "members")
     # Equal sets are one class, known by the least row's hash.
     classes = scratch.keep(read.groupBy("set").agg(F.min("rid").alias("node"), F.first("fp").alias("fp")), "classes")
 
@@ -578,7 +579,12 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, key: str = "doc_id"
     scratch.drop(banded_rows)
     # Every member of a component of two or more, the root included, with its set.
     within = candidates.union(candidates.select(F.col("root").alias("node"), "root").distinct())
-    sets = scratch.keep(classes.select("node", "set").join(within, "node").join(read.select("set", F.col("rid").alias("node"), "shingles", "n"), ["set", "node"]).dropDuplicates(["node"]).select("node", "root", "shingles", "n"), "sets")
+    wanted = scratch.keep(classes.select("node", "set").join(within, "node"), "wanted")
+    asked = hinted(read.select("set", F.col("rid").alias("node"), "shingles", "n"), wanted, ["set", "node"]).where("_maybe").drop("_maybe")
+    sets = scratch.keep(asked.join(wanted, ["set", "node"]).dropDuplicates(["set", "node"]).select("node", "root", "shingles", "n"), "sets")
+    scratch.drop(read)
     roots = connected_components(_confirmed(sets, similarity, scratch, block_shingles), scratch)
     told = classes.join(roots.withColumnRenamed("root", "_root"), "node", "left").select("set", F.coalesce("_root", "node").alias("root"))
-    return rows.join(told, "set").select(F.col("_key").alias(key), "rid", "sig", "root")
+    groups = Scratch(docs.sparkSession, "groups").keep(rows.join(told, "set").select(F.col("_key").alias(key), "rid", "sig", "root"), "groups")
+    scratch.clear()
+    return groups

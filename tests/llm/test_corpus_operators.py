@@ -6,17 +6,19 @@ import math
 import random
 import re
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from glyphmill.llm import languagemodel, linededup, packing, sharding, simhash, substring
-from glyphmill.llm.common import Scratch, small_batches
+from glyphmill.llm import languagemodel, linededup, packing, quality, sharding, simhash, substring
+from glyphmill.llm.common import Scratch, hinted, small_batches
 from glyphmill.llm.components import connected_components
 from glyphmill.llm.eliasfano import EliasFano
 from glyphmill.llm.tokens import byte_bpe
 from glyphmill.llm.wordseq import Words
+from glyphmill.tables import shared_folder
 
 SF = "/root/testdata/sf0.001"
 EDGES = [(1, None), (2, ""), (3, " \n\t "), (4, "one"), (4, "one"), (None, "no id"), (5, "ünï çödé\nline"), (6, "x " * 3000), (7, "x " * 3000)]
@@ -528,6 +530,47 @@ def test_pipeline_keeps_one_of_each_group(spark):
     assert sorted(kept, key=repr) == [0, 4, 5, 9, 9, None]
 
 
+def test_hinted_rows_hold_all_keys(spark):
+    """Keys of another type, null and repeated ones: none is missed, and few others pass."""
+    rows_ = docs_of(spark, [(k, "t") for k in range(5000)] + [(None, "n")])
+    keys = spark.createDataFrame([(k,) for k in range(0, 5000, 10)] + [(0,), (None,)], "doc_id int")
+    found = {r["doc_id"]: r["_maybe"] for r in hinted(rows_, keys, ["doc_id"]).collect()}
+    assert len(found) == 5001 and all(found[k] for k in range(0, 5000, 10)) and found[None]
+    assert sum(found.values()) < 520
+    assert not any(r["_maybe"] for r in hinted(rows_, keys.limit(0), ["doc_id"]).collect())
+
+
+def test_pipeline_shuffles_few_texts(spark):
+    """Bands and near dedup where no table is small enough for a broadcast: most texts stay in the task that reads them, little stays on disk."""
+    import corpus_pipeline
+
+    rng = random.Random(14)
+    rows_ = [(k, " ".join(f"w{rng.randrange(10**6)}" for _ in range(3000)), "en", "s", 1) for k in range(200)]
+    rows_ += [(1000 + r[0], *r[1:]) for r in rows_[:5]] + rows_[:3]
+    docs = Scratch(spark, "test").keep(docs_of(spark, rows_, "doc_id bigint, text string, lang string, source string, n_chars bigint"), "docs")
+    labels = docs.selectExpr("doc_id", "int(doc_id % 20 = 0) AS quality").distinct()
+    size, context, folder = sum(len(r[1]) for r in rows_), spark.sparkContext._jsc.sc(), Path(shared_folder(spark).removeprefix("file:"))
+
+    def cost():
+        """Bytes shuffled so far, and bytes in the shared folder."""
+        context.listenerBus().waitUntilEmpty(30_000)
+        executors = context.statusStore().executorList(False)
+        return np.array([sum(executors.apply(k).totalShuffleWrite() for k in range(executors.size())), sum(f.stat().st_size for f in folder.rglob("*.parquet"))])
+
+    before = cost()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        bands = quality.sample_bands(docs, labels)
+        after_bands = cost()
+        kept = sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, SF).collect())
+        after = cost()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert set(bands) <= {"", "en"} and kept == list(range(200))
+    assert after_bands[0] - before[0] < size / 50
+    assert after[0] - after_bands[0] < size / 2 and after[1] - before[1] < size / 50
+
+
 def test_oracle_of_line_dedup(spark):
     import duckdb
 
