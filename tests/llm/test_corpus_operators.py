@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from glyphmill.llm import languagemodel, linededup, packing, quality, sharding, simhash, substring
+from glyphmill.llm import eliasfano, languagemodel, linededup, packing, quality, sharding, simhash, substring
 from glyphmill.llm.common import Scratch, hinted, small_batches
 from glyphmill.llm.components import connected_components
 from glyphmill.llm.eliasfano import EliasFano
@@ -377,6 +377,27 @@ def test_elias_fano_round_trip():
         assert ((at >= 0) == np.isin(asked, values)).all() and (values[at[at >= 0]] == asked[at >= 0]).all()
 
 
+def test_elias_fano_selects_once_a_search(monkeypatch):
+    """Long and short buckets, in one word and over many: the end of a bucket follows from its start, but for the few that leave the word."""
+    rng = np.random.default_rng(9)
+    values = np.sort(np.concatenate([rng.integers(0, 1 << 40, 20_000), rng.integers(1 << 30, (1 << 30) + 500, 600)]).astype(np.uint64))
+    sequence = EliasFano(EliasFano.encode(values, 1 << 40))
+    assert (sequence.get(np.arange(len(values))) == values).all()
+    asked, seen, select = np.concatenate([values, rng.integers(0, 1 << 40, 20_000).astype(np.uint64)]), [], eliasfano._select_in_word
+    monkeypatch.setattr(eliasfano, "_select_in_word", lambda word, rank: (seen.append(len(word)), select(word, rank))[1])
+    at = sequence.find(asked)
+    assert ((at >= 0) == np.isin(asked, values)).all() and (values[at[at >= 0]] == asked[at >= 0]).all()
+    assert sum(seen) < 1.2 * len(asked)
+
+
+def test_select_in_word():
+    rng = np.random.default_rng(10)
+    words = np.concatenate([rng.integers(0, 1 << 63, 300, dtype=np.uint64), rng.integers(0, 1 << 63, 50, dtype=np.uint64) | np.uint64(1 << 63), np.array([1, 1 << 63, (1 << 64) - 1], np.uint64)])
+    for word in words:
+        ones = [k for k in range(64) if int(word) >> k & 1]
+        assert eliasfano._select_in_word(np.full(len(ones), word), np.arange(len(ones))).tolist() == ones
+
+
 def tokens_of(text):
     return [*re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode().lower()), None]
 
