@@ -35,16 +35,22 @@ def combining() -> str:
     return "".join(f"\\x{{{a:X}}}" if a == b else f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in runs)
 
 
+@lru_cache(maxsize=1)
+def mark() -> str:
+    """One combining mark. The long class is tried on marks only."""
+    return f"(?=\\p{{M}})[{combining()}]"
+
+
 @lru_cache(maxsize=1)
 def word_character() -> str:
-    """One letter or combining mark. The long class is tried on marks only."""
-    return f"(?:{ALPHABETIC}|(?=\\p{{M}})[{combining()}])"
+    """One letter or combining mark."""
+    return f"(?:{ALPHABETIC}|{mark()})"
 
 
 @lru_cache(maxsize=1)
 def run_character() -> str:
     """One letter, combining mark or number."""
-    return f"(?:{ALPHABETIC}|{NUMERIC}|(?=\\p{{M}})[{combining()}])"
+    return f"(?:{ALPHABETIC}|{NUMERIC}|{mark()})"
 
 
 @lru_cache(maxsize=1)

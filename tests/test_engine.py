@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from glyphmill import model
 from glyphmill.functions.classify import classify, located_segments, segments
 from glyphmill.functions.distance import deletions, osa, osa_distance
-from glyphmill.functions.register import register
+from glyphmill.functions.register import _WORD, register
 from glyphmill.functions.text import SENTINELS, lines, raw_tokens, tokenize
 from glyphmill.model import Policy, SuggestOptions
 from glyphmill.operators.policy import analyze
@@ -56,6 +56,27 @@ def test_tokens_and_ranges(spark):
     assert [(r["word"], r["byte_start"]) for r in marked] == [("a", 0), ("b", 2), ("c", 4), ("d", 6)]
 
 
+@pytest.mark.parametrize("letters", ["ab c", "aé c'𝔘\u0301\n", "abcdé \r\n-,("])
+def test_places_are_summed_in_the_row(spark, letters):
+    """No text is dealt out to number its tokens; long arrays, rows of one key and empty texts are placed alike."""
+    rng = random.Random(11)
+    texts = [None, "", "\n", "ab" * 30_000, *("".join(rng.choice(letters) for _ in range(n)) for n in (1, 2, 33, 64, 65, 700, 20_000, 90_000))]
+    rows = spark.createDataFrame([(1, t) for t in texts], "doc_id bigint, text string")
+    tokens, line_rows = tokenize(rows), lines(rows)
+    for found in (tokens, line_rows, raw_tokens(line_rows)):
+        assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    want = sorted((m[0], len(t[: m.start()].encode()), len(t[: m.end()].encode())) for t in texts if t for m in _WORD.finditer(t))
+    assert sorted((r["word"], r["byte_start"], r["byte_end"]) for r in tokens.collect()) == want
+    want = []
+    for t in texts:
+        at = 0
+        for k, raw in enumerate(every := (t or "").split("\n"), 1):
+            if k < len(every) or raw or len(every) == 1:
+                want.append((k, raw.removesuffix("\r"), at))
+            at += len(raw.encode()) + 1
+    assert sorted((r["line"], r["text"], r["byte_start"]) for r in line_rows.collect()) == sorted(want)
+
+
 def test_tokens_of_a_text_with_all_sentinels(spark):
     text = "a".join(SENTINELS) + " b c"
     at = len(SENTINELS[0].encode())
