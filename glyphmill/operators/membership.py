@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.unicode import normalize
+from ..tables import hinted
 
 
 def union_of(sources: list[DataFrame]) -> DataFrame:
@@ -33,6 +34,14 @@ def unrecognized(words: DataFrame, dictionary: DataFrame) -> DataFrame:
     return recognized(words, dictionary).where("not recognized").select("word")
 
 
+def among(tokens: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The tokens whose ``word`` is in ``wanted``. Bits leave out most others before the exact join, so that these are not shuffled for it.
+
+    ``wanted`` is read twice: let it be a written table.
+    """
+    return hinted(tokens, wanted, ["word"]).where("_maybe").drop("_maybe").join(wanted, "word", "left_semi")
+
+
 def misspellings(tokens: DataFrame, dictionary: DataFrame) -> DataFrame:
     """The tokens (rows with ``word``) that the dictionary lacks.
 

@@ -10,11 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.classify import classify, segments, whole_identifier
-from ..functions.text import line_and_column, lines, raw_tokens, tokenize, words
+from ..functions.text import lines, raw_tokens, tokenize, tokenize_lines, words
 from ..functions.unicode import normalize
 from ..model import SuggestOptions
 from ..operators.forms import flag_origins, form_table
-from ..operators.membership import misspellings, recognized, union_of, unrecognized
+from ..operators.membership import among, misspellings, recognized, union_of, unrecognized
 from ..operators.policy import active_lines, analyze, directives
 from ..operators.recognize import Recognizer, normalize_input
 from ..operators.suggest import suggest
@@ -23,7 +23,7 @@ from ..sources.affixfiles import AffixDictionary, import_text
 from ..sources.trees import glob_regex
 from ..sources.wordlists import derived_list, overlay, parse_frequency_list, parse_word_list, text_lines
 from ..streaming.live import check_stream
-from ..tables import shared_folder
+from ..tables import settle, shared_folder
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -259,8 +259,8 @@ SELECT doc_id, line::BIGINT AS line, coalesce(kind, 'active') AS kind FROM s WHE
 
 def q_line_column(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    wrong = misspellings(tokenize(docs), h(spark, sf_dir))
-    return line_and_column(wrong, lines(docs)).select("doc_id", "word", "byte_start", "line", "column")
+    wrong = unrecognized(docs.select(F.explode(words(F.col("text"))).alias("word")), h(spark, sf_dir))
+    return among(tokenize_lines(docs), settle(wrong, "unknown")).select("doc_id", "word", "byte_start", "line", "column")
 
 
 SQL_LINE_COLUMN = f"""

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions.classify import whole_identifier
 from ..functions.distance import deletions, osa_distance
-from ..functions.text import line_and_column, lines, tokenize
+from ..functions.text import tokenize_lines, words
 from ..functions.unicode import lower, normalize
 from ..model import Policy, SuggestOptions
-from ..operators.membership import keys, union_of, unrecognized
+from ..operators.membership import among, keys, union_of, unrecognized
 from ..operators.policy import analyze
 from ..operators.recognize import Recognizer, normalize_output
 from ..operators.suggest import related_seeds, suggest
@@ -50,9 +50,8 @@ class Engine:
 
     def check_text(self, docs: DataFrame) -> DataFrame:
         """Misspellings of (doc_id, text) with byte ranges, line and column."""
-        tokens = tokenize(docs)
-        wrong = tokens.join(self.unrecognized(tokens), "word", "left_semi")
-        return line_and_column(wrong, lines(docs)).select("doc_id", "word", "byte_start", "byte_end", "line", "column")
+        wrong = self.unrecognized(docs.select(F.explode(words(F.col("text"))).alias("word")))
+        return among(tokenize_lines(docs), settle(wrong, "unknown")).select("doc_id", "word", "byte_start", "byte_end", "line", "column")
 
     def analyze(self, docs: DataFrame, policy: Policy | None = None) -> tuple[DataFrame, DataFrame]:
         """Findings and directive problems of (doc_id, text, comment)."""

@@ -9,7 +9,7 @@ from glyphmill import model
 from glyphmill.functions.classify import classify, located_segments, segments
 from glyphmill.functions.distance import deletions, osa, osa_distance
 from glyphmill.functions.register import _WORD, register
-from glyphmill.functions.text import SENTINELS, lines, raw_tokens, tokenize
+from glyphmill.functions.text import SENTINELS, line_and_column, lines, raw_tokens, tokenize, tokenize_lines
 from glyphmill.model import Policy, SuggestOptions
 from glyphmill.operators.policy import analyze
 from glyphmill.operators.suggest import suggest
@@ -77,6 +77,24 @@ def test_places_are_summed_in_the_row(spark, letters):
     assert sorted((r["line"], r["text"], r["byte_start"]) for r in line_rows.collect()) == sorted(want)
 
 
+def test_lines_and_columns_of_long_lines(spark):
+    """Columns are summed with the bytes: no row carries its line's text, and any place of a long line is found."""
+    rng = random.Random(12)
+    texts = ["", "\r\n\n", "a\r\nbé é\n\n𝔘c d", *("".join(rng.choice(letters) for _ in range(30_000)) for letters in ("ab ", "aé𝔘 ", "aé \n"))]
+    found = tokenize_lines(docs(spark, *texts))
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    want = set()
+    for d, text in enumerate(texts):
+        for m in _WORD.finditer(text):
+            want.add((d, m[0], len(text[: m.start()].encode()), text.count("\n", 0, m.start()) + 1, m.start() - text.rfind("\n", 0, m.start())))
+    columns = ["doc_id", "word", "byte_start", "line", "column"]
+    assert {tuple(r) for r in found.select(*columns).collect()} == want
+    places = line_and_column(tokenize(docs(spark, *texts)), lines(docs(spark, *texts)))
+    plan = places._jdf.queryExecution().analyzed().toString()
+    assert "struct<line:bigint,byte_start:bigint,text" not in plan
+    assert {tuple(r) for r in places.select(*columns).collect()} == want
+
+
 def test_tokens_of_a_text_with_all_sentinels(spark):
     text = "a".join(SENTINELS) + " b c"
     at = len(SENTINELS[0].encode())
