@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.classify import classify, segments, whole_identifier
-from ..functions.text import lines, raw_tokens, tokenize, tokenize_lines, words
+from ..functions.text import lines, raw_words, tokenize, tokenize_lines, words
 from ..functions.unicode import normalize
 from ..model import SuggestOptions
 from ..operators.forms import flag_origins, form_table
@@ -162,7 +162,7 @@ SQL_NFC = f"SELECT word, nfc_normalize(word) AS normalized FROM {sql_values(MARK
 
 
 def _code_tokens(docs: DataFrame) -> DataFrame:
-    return raw_tokens(lines(docs))
+    return raw_words(lines(docs))
 
 
 def q_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -236,9 +236,9 @@ SOURCES = [
 
 def q_directives(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = values(spark, SOURCES, "doc_id int, text string, comment string")
-    line_rows = lines(docs).join(docs.select("doc_id", "comment"), "doc_id")
+    line_rows = lines(docs, by=("doc_id", "comment"))
     found = directives(line_rows)
-    active = active_lines(line_rows, found).select("doc_id", "line")
+    active = active_lines(line_rows).select("doc_id", "line")
     kinds = found.select("doc_id", "line", F.coalesce("problem", "kind").alias("kind"))
     return kinds.union(active.select("doc_id", "line", F.lit("active")))
 

@@ -95,6 +95,21 @@ def test_lines_and_columns_of_long_lines(spark):
     assert {tuple(r) for r in places.select(*columns).collect()} == want
 
 
+def test_only_tokens_that_matter_are_shuffled(spark):
+    """The places of recognized tokens stay where they are; a document without a directive meets no window."""
+    text = "let known = known;\n" * 400 + "// glyphmill:ignore tpyo\nlet tpyo = wrng;\n"
+    rows = spark.createDataFrame([(1, text, "line://"), (2, text.replace("glyphmill", "other"), "line://")], "doc_id bigint, text string, comment string")
+    findings, _ = analyze(rows, one(spark, "let", "known", "other", "ignore"))
+    found = sorted((r["doc_id"], r["line"], r["word"]) for r in findings.collect())
+    assert found == [(1, 402, "wrng"), (2, 401, "tpyo"), (2, 402, "tpyo"), (2, 402, "wrng")]
+    analyzed = findings._jdf.queryExecution().optimizedPlan().toString()
+    windows = [x for x in analyzed.splitlines() if "Window [" in x]
+    assert "_mark" in analyzed and len(windows) == 1  # the bits come before the join; the lines of marked documents only are ordered
+    assert findings.where("token = 'known'").isEmpty()
+    engine = Engine(spark, [one(spark, "let", "known")])
+    assert {(r["word"], r["line"], r["column"]) for r in engine.check_text(rows.select("doc_id", "text").where("doc_id = 1")).collect()} == {("glyphmill", 401, 4), ("ignore", 401, 14), ("tpyo", 401, 21), ("tpyo", 402, 5), ("wrng", 402, 12)}
+
+
 def test_tokens_of_a_text_with_all_sentinels(spark):
     text = "a".join(SENTINELS) + " b c"
     at = len(SENTINELS[0].encode())
